@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.llm import bpe, substring
+from phylospark.llm import bpe, substring, tokens, winnow
 from phylospark.llm import common as c
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_edits(c.table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(c.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(c.table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -21,7 +29,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op7_substring_dedup, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_winnowing, op4_token_counts, op7_substring_dedup, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
