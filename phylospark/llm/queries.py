@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.llm import bpe, chat, mixing, substring, tokens, winnow
+from phylospark.llm import bpe, chat, mixing, quality, substring, tokens, winnow
 from phylospark.llm import common as c
 
 
@@ -20,6 +20,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(talks.unionByName(spark.sql(f"SELECT -7L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"))))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = c.stored(quality.scored(c.table(spark, sf_dir, "documents")), "scored")
+    return quality.judge(marked, c.table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(c.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,8 +44,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op4_token_counts, op5_source_mixing, op7_substring_dedup, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op7_substring_dedup, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op5_source_mixing": mixing.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op3_quality_rules": quality.SQL, "op5_source_mixing": mixing.SQL}
