@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.llm import bpe, chat, mixing, quality, substring, tokens, winnow
+from phylospark.llm import bpe, chat, mixing, orderhash, quality, substring, tokens, winnow
 from phylospark.llm import common as c
 
 
@@ -43,8 +43,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.near_duplicates(c.table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op7_substring_dedup, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op7_substring_dedup, op8_byte_bpe, op9_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
