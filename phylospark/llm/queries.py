@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.llm import bpe, chat, mixing, orderhash, quality, substring, tokens, winnow
+from phylospark.llm import bpe, chat, mincut, mixing, orderhash, quality, substring, tokens, winnow
 from phylospark.llm import common as c
 
 
@@ -47,8 +47,12 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.near_duplicates(c.table(spark, sf_dir, "documents"))
 
 
+def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(c.table(spark, sf_dir, "pages"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op7_substring_dedup, op8_byte_bpe, op9_order_minhash)}
+    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op7_substring_dedup, op8_byte_bpe, op9_order_minhash, op10_html_mincut)}
 
 
 def oracle_sql() -> dict[str, str]:
