@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.llm import bpe, chat, mincut, mixing, orderhash, quality, substring, tokens, winnow
+from phylospark.llm import bpe, chat, mincut, mixing, orderhash, quality, severity, substring, tokens, winnow
 from phylospark.llm import common as c
 
 
@@ -33,6 +33,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(c.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    return severity.predict(docs, severity.fit(docs, c.table(spark, sf_dir, "labels")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(c.table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,7 +57,7 @@ def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op7_substring_dedup, op8_byte_bpe, op9_order_minhash, op10_html_mincut)}
+    return {f.__name__: f for f in (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op6_toxic_severity, op7_substring_dedup, op8_byte_bpe, op9_order_minhash, op10_html_mincut)}
 
 
 def oracle_sql() -> dict[str, str]:
