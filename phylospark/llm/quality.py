@@ -138,6 +138,12 @@ def judge(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False)))
 
 
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs."""
+    marked = c.stored(scored(docs, keep=tuple(docs.columns)), "scored")
+    return judge(marked, labels).where("kept").select(*(F.col(f"kept_{k}").alias(k) for k in docs.columns))
+
+
 #: The same in DuckDB's SQL.
 SQL = r"""
 WITH words AS (

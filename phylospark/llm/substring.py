@@ -86,29 +86,32 @@ def _candidate_windows(window: int, gram: int):
     return run
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+def _cut(window: int, keep: int, most: int = 4_000_000):
+    """Rows of (doc_id, n_words, n_removed, kept_text, then the `keep` first columns), handed over by weight."""
 
-
-def _cut(window: int):
     def run(batches):
-        out = c.Rows(_KEPT)
         for batch in batches:
-            for doc_id, raw, at in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), batch.column("at"), strict=True):
+            held, weight, start = ([], [], []), 0, 0
+            end = batch.num_rows - 1
+            for i, (raw, at) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("at"), strict=True)):
                 raw = raw.as_py()
-                words, removed = raw.split(), 0
+                kept, removed = raw.split(), 0
+                n = len(kept)
                 if at.is_valid:
-                    steps = np.zeros(len(words) + 1, dtype=np.int64)
+                    steps = np.zeros(n + 1, dtype=np.int64)
                     starts = np.unique(at.values.to_numpy())
                     steps[starts] += 1
                     steps[starts + window] -= 1
                     gone = np.cumsum(steps[:-1]) > 0
                     removed = int(gone.sum())
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    kept = words
-                if out.add(len(raw), doc_id.as_py(), len(words), removed, b" ".join(kept).decode("utf-8")):
-                    yield out.flush()
-        yield out.flush()
+                    kept = [w for w, g in zip(kept, gone.tolist(), strict=True) if not g]
+                for column, value in zip(held, (n, removed, b" ".join(kept).decode("utf-8")), strict=True):
+                    column.append(value)
+                weight += len(raw) + 64
+                if weight >= most or i == end:
+                    rest = [batch.column(k).slice(start, i + 1 - start) for k in range(keep + 1)]
+                    yield pa.RecordBatch.from_arrays([rest[0], pa.array(held[0], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2], pa.string()), *rest[1:]], names=["doc_id", "n_words", "n_removed", "kept_text", *(f"_{k}" for k in range(keep))])
+                    held, weight, start = ([], [], []), 0, i + 1
 
     return run
 
@@ -157,12 +160,14 @@ class FingerprintIndex:
         return self._all().where("repeated").select("h", "n")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row: gone is each word that a
-    window covers whose words also start anywhere else. The rows reach the index in `batches` batches."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row, then its columns in `keep`
+    as _0, _1, ...: gone is each word that a window covers whose words also start anywhere else. The rows reach the
+    index in `batches` batches."""
     spark = docs.sparkSession
     text = c.text_of(docs)
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(c.NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(c.NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), *(docs[k].alias(f"_{i}") for i, k in enumerate(keep)))
+    kept = [f"_{i}" for i in range(len(keep))]
     index = FingerprintIndex(spark, window=window, gram=gram, fanout=max(2, batches))
     for b in range(batches):
         index.append(base.where(F.pmod(F.xxhash64("k1"), F.lit(batches)) == b).select("text"))
@@ -170,15 +175,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     most = seen.agg(F.max("n")).first()[0] or 0
     owners = base.select("k1", "k2", "text").mapInArrow(_own_fingerprints(window, gram), "k1 long, k2 long, h long")
     found = owners.join(seen, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("seen"), F.max("n").alias("most"))
-    windows = base.select("doc_id", "text", "k1", "k2").join(found, ["k1", "k2"]).select("k1", "k2", "text", "seen", "most")
+    windows = base.select("doc_id", *kept, "text", "k1", "k2").join(found, ["k1", "k2"]).select("k1", "k2", "text", "seen", "most")
     windows = windows.mapInArrow(_candidate_windows(window, gram), "k1 long, k2 long, at int, w1 long, w2 int, most long")
     if most < HOT:
         twice = windows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))).where("c > 1").select("k1", "k2", "at")
     else:
         twice = _count_salted(windows)
     twice = twice.groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
-    whole = base.select("doc_id", "text", "k1", "k2").join(twice, ["k1", "k2"], "left").select("doc_id", "text", "at")
-    return whole.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    whole = base.select("doc_id", *kept, "text", "k1", "k2").join(twice, ["k1", "k2"], "left").select("doc_id", *kept, "text", "at")
+    extra = "".join(f", _{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
+    return whole.mapInArrow(_cut(window, len(keep)), f"doc_id long, n_words long, n_removed long, kept_text string{extra}")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Rows of docs with the repeated words cut out of their texts, and n_chars, where docs has it, counted anew. A text
+    that loses nothing stays as it is; another one's words are joined by one space."""
+    cut = remove_repeats(docs, keep=tuple(docs.columns))
+    was = {k: f"_{i}" for i, k in enumerate(docs.columns)}
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(was["text"]))
+    fresh = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col(was["n_chars"])) if "n_chars" in was else None}
+    return cut.select(*((fresh[k] if k in fresh else F.col(was[k])).cast(docs.schema[k].dataType).alias(k) for k in docs.columns))
 
 
 def _count_salted(windows: DataFrame) -> DataFrame:
