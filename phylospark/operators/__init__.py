@@ -1 +1 @@
-"""Package."""
+"""Distances, diversity, subsampling, consolidation, ordination, stripes."""

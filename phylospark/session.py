@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "phylospark") -> SparkSession:
@@ -20,3 +22,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset,
+    as in tests) a temporary one, which is then set for the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="phylospark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialized(rows: DataFrame, tag: str) -> DataFrame:
+    """rows, written once to the shared folder and reread: steps that read them more than once don't compute them
+    again, and they outlive executors."""
+    path = scratch(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -1 +1 @@
-"""Package."""
+"""Trees, tables and result directories."""

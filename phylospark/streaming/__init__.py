@@ -1 +1 @@
-"""Package."""
+"""Nothing streams here: every capability of the engine is a batch over a finite table and tree."""
