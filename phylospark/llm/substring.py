@@ -175,7 +175,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     most = seen.agg(F.max("n")).first()[0] or 0
     owners = base.select("k1", "k2", "text").mapInArrow(_own_fingerprints(window, gram), "k1 long, k2 long, h long")
     found = owners.join(seen, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("seen"), F.max("n").alias("most"))
-    windows = base.select("doc_id", *kept, "text", "k1", "k2").join(found, ["k1", "k2"]).select("k1", "k2", "text", "seen", "most")
+    # both joins read the same columns of the same rows, so the texts are shuffled once
+    windows = base.select("doc_id", *kept, "text", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", *kept, "k1", "k2", "text", "seen", "most")
     windows = windows.mapInArrow(_candidate_windows(window, gram), "k1 long, k2 long, at int, w1 long, w2 int, most long")
     if most < HOT:
         twice = windows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))).where("c > 1").select("k1", "k2", "at")
