@@ -5,12 +5,17 @@ the `PICKED` smallest labelled k-mers are sampled and kept in text order; a sket
 is sensitive to order as edit distance is. Two texts of similarity s share a sketch with a chance of about
 s ** PICKED each, so at s = 0.8 one of 16 is shared in 99.98 of 100 cases.
 
-Texts that share a sketch are a bucket. Each member is verified against the bucket's least member (its hub) by banded
-alignment: of the labelled k-mers that both have, at most `band` places apart, the longest chain that rises in both
-texts; similarity is its length over the k-mers of both less that length, and a link needs 0.8 or more. Members that
-fail are not given up: their buckets are refined by every other sketch, each part with a hub of its own, twice over;
-what has failed then is compared pair by pair within its part. Groups of copies thus cost a comparison per member and
-bucket, not one per pair; equal texts are one node throughout.
+Texts that share a sketch are a bucket. In a bucket of SMALL members or fewer all pairs are verified; in a larger one
+each member is verified against a hub, the member that shares the most buckets with the most texts. Verifying is by
+banded alignment: of the labelled k-mers that both have, at most `band` places apart, the longest chain that rises in
+both texts; similarity is its length over the k-mers of both less that length, and a link needs 0.8 or more. A member
+of a large bucket that nothing is linked to yet is not given up: its buckets are parted by SPLITS further sketches,
+with all their members, and each part is treated as a bucket with another hub, LEVELS times over. Texts above the
+threshold keep meeting (at 0.8, two of five parts hold both), others drop out of each other's parts. A group of
+copies so costs a bounded number of comparisons per member, never one per pair; equal texts are one node throughout.
+
+What may be lost is a link between two texts of large buckets that both are linked to other texts, or that share no
+sketch; the tests and the README hold the classes against brute force.
 
 Nulls: a null text is an empty one; documents without a word are alike only if their texts are equal. Texts under five
 words have one k-mer, all they have. A null doc_id is a document too, but names no class. Repeated rows are copies.
@@ -23,13 +28,14 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.llm import common as c
 from phylospark.llm.components import components
 
 WORDS, SKETCHES, PICKED, SIMILARITY = 5, 16, 4, 0.8
+SMALL, SPLITS, LEVELS = 6, 3, 3
 _RANDOM = np.random.default_rng(20240601).integers(0, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _XOR, _MULTIPLY = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -125,37 +131,55 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("node", "hub", "text", "hub_text").mapInArrow(_verify, "node binary, hub binary, linked boolean")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """rows of buckets with two members or more, with the bucket's size n."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(sizes, "key")
+
+
+def _within_small(rows: DataFrame) -> DataFrame:
+    """All pairs of buckets of SMALL members or fewer: at most (SMALL - 1) / 2 for each row. Of two members at least one
+    is open."""
+    few = rows.where(F.col("n") <= SMALL)
+    other = few.select("key", F.col("node").alias("hub"), F.col("open").alias("also"))
+    return few.join(other, "key").where("hub < node AND (open OR also)").select("node", "hub")
+
+
+def _to_hubs(rows: DataFrame, rank: Column) -> DataFrame:
+    """Of larger buckets, each open member with the bucket's member of the highest rank."""
+    many = rows.where(F.col("n") > SMALL)
+    hubs = many.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "node"))["node"].alias("hub"))
+    return many.where("open").join(hubs, "key").where("node != hub").select("node", "hub")
+
+
 def links(docs: DataFrame) -> DataFrame:
-    """(a, b) of nodes (MD5 of the text) that are alike, enough of them that everything alike is connected."""
+    """(a, b) of nodes (MD5 of the text) that are alike."""
     named = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     sketched = c.stored(named.mapInArrow(_sketch, "node binary, s array<long>").dropDuplicates(["node"]), "sketches")
-    rows = sketched.select("node", F.explode("s").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top").select("key", "hub")
-    members = c.stored(rows.join(hubs, "key"), "members")
-    wanted = members.select("node").distinct()
+    rows = c.stored(_sized(sketched.select("node", F.explode("s").alias("key"))).withColumn("open", F.lit(True)), "buckets")
+    # a text that many resemble shares the most buckets with the most texts; it makes the best hub
+    known = rows.groupBy("node").agg(F.sum("n").alias("known"))
+    wanted = rows.select("node").distinct()
     texts = c.stored(named.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    checked = c.stored(_verified(members.where("node != hub").select("node", "hub").distinct(), texts), "checked")
-    every = checked
-    failed = c.stored(members.join(checked.where("NOT linked"), ["node", "hub"], "left_semi").select("key", "node"), "failed")
-    for _ in range(2):
-        if failed.isEmpty():
+    pairs = _within_small(rows).unionAll(_to_hubs(rows.join(known, "node"), F.col("known"))).distinct()
+    checked = c.stored(_verified(pairs, texts), "checked")
+    for level in range(LEVELS + 1):
+        linked = checked.where("linked")
+        linked = linked.select("node").unionAll(linked.select("hub")).distinct()
+        # what no text is linked to yet, in buckets whose pairs were not all compared
+        rows = rows.where(F.col("n") > SMALL).select("key", "node")
+        open_ = c.stored(rows.join(linked, "node", "left_anti").withColumn("open", F.lit(True)), "open")
+        if level == LEVELS or open_.isEmpty():
             break
-        # all members of a bucket in which some failed, each dealt to the parts its other sketches make
-        old = members.select("key", "node").join(failed.select("key").distinct(), "key", "left_semi").join(failed.withColumn("open", F.lit(True)), ["key", "node"], "left")
-        parts = old.join(sketched, "node").select("node", F.coalesce("open", F.lit(False)).alias("open"), "key", F.explode(F.array_except("s", F.array("key"))).alias("other"))
-        parts = parts.select("node", "open", F.xxhash64("key", "other").alias("key"))
-        hubs = parts.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.bool_or("open").alias("some")).where("hub != top AND some").select("key", "hub")
-        members = c.stored(parts.join(hubs, "key"), "members")
-        pairs = members.where("open AND node != hub").select("node", "hub").distinct()
-        fresh = pairs.join(every, ["node", "hub"], "left_anti")
-        checked = c.stored(_verified(fresh, texts), "checked")
-        every = c.stored(every.unionAll(checked), "every")
-        failed = c.stored(members.where("open").join(every.where("NOT linked"), ["node", "hub"], "left_semi").select("key", "node"), "failed")
-    if not failed.isEmpty():
-        pairs = failed.join(failed.select("key", F.col("node").alias("hub")), "key").where("hub < node").select("node", "hub").distinct()
-        every = every.unionAll(c.stored(_verified(pairs.join(every, ["node", "hub"], "left_anti"), texts), "checked"))
-    return every.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        rows = rows.join(open_.select("key").distinct(), "key", "left_semi").join(open_, ["key", "node"], "left").join(sketched, "node")
+        place = [F.pmod(F.xxhash64("key", F.lit(d)), F.lit(SKETCHES)).cast("int") for d in range(SPLITS)]
+        keys = F.array(*(F.xxhash64("key", i, F.get("s", i)) for i in place))
+        parts = rows.select("node", F.coalesce("open", F.lit(False)).alias("open"), F.explode(keys).alias("key")).distinct()
+        rows = c.stored(_sized(parts), "parts")
+        fresh = _within_small(rows).unionAll(_to_hubs(rows, F.xxhash64("key", "node"))).distinct()
+        fresh = c.stored(_verified(fresh.join(checked, ["node", "hub"], "left_anti"), texts), "fresh")
+        checked = c.stored(checked.unionAll(fresh), "checked")
+    return checked.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
