@@ -63,4 +63,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op3_quality_rules": quality.SQL, "op5_source_mixing": mixing.SQL}
+    return {"op2_chat_formatting": chat.SQL, "op3_quality_rules": quality.SQL, "op5_source_mixing": mixing.SQL, "op7_substring_dedup": substring.SQL}

@@ -208,3 +208,20 @@ def _count_salted(windows: DataFrame) -> DataFrame:
     totals = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("w1", "w2")
     alone = windows.where("c = 1").join(totals, ["w1", "w2"], "left_semi")
     return windows.where("c > 1").select("k1", "k2", "at").unionAll(alone.select("k1", "k2", "at"))
+
+
+#: What remove_repeats with the default window gives, in DuckDB's SQL.
+SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY md5(array_to_string(list_slice(w, i, i + 34), ' '))) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT r, i + j AS p FROM windows, (SELECT unnest(range(35)) AS j) WHERE c > 1
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM split LEFT JOIN kept k USING (r)
+"""
