@@ -3,7 +3,7 @@
 A text's k-mers are its five-word shingles, each labelled with its occurrence. For each of `SKETCHES` hash functions
 the `PICKED` smallest labelled k-mers are sampled and kept in text order; a sketch is the hash of that sequence, so it
 is sensitive to order as edit distance is. Two texts of similarity s share a sketch with a chance of about
-s ** PICKED each, so at s = 0.8 one of 16 is shared in 99.98 of 100 cases.
+s ** PICKED each, so at s = 0.8 one of 12 is shared in 99.98 of 100 cases.
 
 Texts that share a sketch are a bucket. In a bucket of SMALL members or fewer all pairs are verified; in a larger one
 each member is verified against a hub, the member that shares the most buckets with the most texts. Verifying is by
@@ -11,7 +11,7 @@ banded alignment: of the labelled k-mers that both have, at most `band` places a
 both texts; similarity is its length over the k-mers of both less that length, and a link needs 0.8 or more. A member
 of a large bucket that nothing is linked to yet is not given up: its buckets are parted by SPLITS further sketches,
 with all their members, and each part is treated as a bucket with another hub, LEVELS times over. Texts above the
-threshold keep meeting (at 0.8, two of five parts hold both), others drop out of each other's parts. A group of
+threshold keep meeting (at 0.8, half of the parts hold both), others drop out of each other's parts. A group of
 copies so costs a bounded number of comparisons per member, never one per pair; equal texts are one node throughout.
 
 What may be lost is a link between two texts of large buckets that both are linked to other texts, or that share no
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from phylospark.llm import common as c
 from phylospark.llm.components import components
 
-WORDS, SKETCHES, PICKED, SIMILARITY = 5, 16, 4, 0.8
+WORDS, SKETCHES, PICKED, SIMILARITY = 5, 12, 3, 0.8
 SMALL, SPLITS, LEVELS = 6, 3, 3
 _RANDOM = np.random.default_rng(20240601).integers(0, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _XOR, _MULTIPLY = _RANDOM[0], _RANDOM[1] | np.uint64(1)
@@ -132,9 +132,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """rows of buckets with two members or more, with the bucket's size n."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(sizes, "key")
+    """rows (node, open, key) of buckets with two members or more, one of them open, with the bucket's size n."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("some")).where("n > 1 AND some")
+    return rows.join(sizes.select("key", "n"), "key")
 
 
 def _within_small(rows: DataFrame) -> DataFrame:
@@ -152,33 +152,40 @@ def _to_hubs(rows: DataFrame, rank: Column) -> DataFrame:
     return many.where("open").join(hubs, "key").where("node != hub").select("node", "hub")
 
 
+def _parts(keys: Column, own: Column) -> Column:
+    """For each bucket the keys of its SPLITS parts; which further sketches part it depends on the bucket alone."""
+
+    def split(key: Column) -> Column:
+        places = [F.pmod(F.xxhash64(key, F.lit(d)), F.lit(SKETCHES)).cast("int") for d in range(SPLITS)]
+        return F.array(*(F.xxhash64(key, i, F.get(own, i)) for i in places))
+
+    return F.array_distinct(F.flatten(F.transform(keys, split)))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(a, b) of nodes (MD5 of the text) that are alike."""
     named = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     sketched = c.stored(named.mapInArrow(_sketch, "node binary, s array<long>").dropDuplicates(["node"]), "sketches")
-    rows = c.stored(_sized(sketched.select("node", F.explode("s").alias("key"))).withColumn("open", F.lit(True)), "buckets")
+    rows = c.stored(_sized(sketched.select("node", F.lit(True).alias("open"), F.explode("s").alias("key"))), "buckets")
     # a text that many resemble shares the most buckets with the most texts; it makes the best hub
-    known = rows.groupBy("node").agg(F.sum("n").alias("known"))
-    wanted = rows.select("node").distinct()
-    texts = c.stored(named.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    pairs = _within_small(rows).unionAll(_to_hubs(rows.join(known, "node"), F.col("known"))).distinct()
-    checked = c.stored(_verified(pairs, texts), "checked")
-    for level in range(LEVELS + 1):
+    known = rows.groupBy("node").agg(F.sum("n").alias("known"), F.collect_list(F.struct("key", "n")).alias("own"))
+    ranked = known.select("node", "known", F.lit(True).alias("open"), F.inline("own"))
+    texts = c.stored(named.join(known.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    checked = c.stored(_verified(_within_small(rows).unionAll(_to_hubs(ranked, F.col("known"))).distinct(), texts), "checked")
+    for _ in range(LEVELS):
         linked = checked.where("linked")
         linked = linked.select("node").unionAll(linked.select("hub")).distinct()
-        # what no text is linked to yet, in buckets whose pairs were not all compared
-        rows = rows.where(F.col("n") > SMALL).select("key", "node")
-        open_ = c.stored(rows.join(linked, "node", "left_anti").withColumn("open", F.lit(True)), "open")
-        if level == LEVELS or open_.isEmpty():
+        # what no text is linked to yet is open, in buckets whose pairs were not all compared; a row for each text
+        texts_in = rows.where(F.col("n") > SMALL).groupBy("node").agg(F.collect_list("key").alias("keys"))
+        state = c.stored(texts_in.join(linked.withColumn("linked", F.lit(True)), "node", "left").select("node", F.col("linked").isNull().alias("open"), "keys"), "state")
+        open_keys = state.where("open").select(F.explode("keys").alias("key")).distinct()
+        live = state.select("node", "open", F.explode("keys").alias("key")).join(open_keys, "key", "left_semi").groupBy("node", "open").agg(F.collect_list("key").alias("keys"))
+        if live.isEmpty():
             break
-        rows = rows.join(open_.select("key").distinct(), "key", "left_semi").join(open_, ["key", "node"], "left").join(sketched, "node")
-        place = [F.pmod(F.xxhash64("key", F.lit(d)), F.lit(SKETCHES)).cast("int") for d in range(SPLITS)]
-        keys = F.array(*(F.xxhash64("key", i, F.get("s", i)) for i in place))
-        parts = rows.select("node", F.coalesce("open", F.lit(False)).alias("open"), F.explode(keys).alias("key")).distinct()
-        rows = c.stored(_sized(parts), "parts")
+        rows = c.stored(_sized(live.join(sketched, "node").select("node", "open", F.explode(_parts(F.col("keys"), F.col("s"))).alias("key"))), "parts")
         fresh = _within_small(rows).unionAll(_to_hubs(rows, F.xxhash64("key", "node"))).distinct()
         fresh = c.stored(_verified(fresh.join(checked, ["node", "hub"], "left_anti"), texts), "fresh")
-        checked = c.stored(checked.unionAll(fresh), "checked")
+        checked = checked.unionAll(fresh)
     return checked.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
