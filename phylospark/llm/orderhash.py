@@ -11,11 +11,14 @@ banded alignment: of the labelled k-mers that both have, at most `band` places a
 both texts; similarity is its length over the k-mers of both less that length, and a link needs 0.8 or more. A member
 of a large bucket that nothing is linked to yet is not given up: its buckets are parted by SPLITS further sketches,
 with all their members, and each part is treated as a bucket with another hub, LEVELS times over. Texts above the
-threshold keep meeting (at 0.8, half of the parts hold both), others drop out of each other's parts. A group of
-copies so costs a bounded number of comparisons per member, never one per pair; equal texts are one node throughout.
+threshold keep meeting (at 0.8, half of the parts hold both), others drop out of each other's parts. Hubs and parts
+only find most links cheaply; what decides is the rest: in each larger bucket whose members are not one component by
+then, all pairs of different components are compared, in blocks of about BLOCK k-mers a side. First k-mers that both
+have are counted, and only pairs with enough of them are aligned. A group of copies that its hubs join so costs a
+bounded number of comparisons per member; members of different components cost one per pair, which is the job. Equal
+texts are one node throughout.
 
-What may be lost is a link between two texts of large buckets that both are linked to other texts, or that share no
-sketch; the tests and the README hold the classes against brute force.
+All texts at 0.8 or more that share a sketch are so in one class. Only a link between texts that share none is lost.
 
 Nulls: a null text is an empty one; documents without a word are alike only if their texts are equal. Texts under five
 words have one k-mer, all they have. A null doc_id is a document too, but names no class. Repeated rows are copies.
@@ -36,6 +39,7 @@ from phylospark.llm.components import components
 
 WORDS, SKETCHES, PICKED, SIMILARITY = 5, 12, 3, 0.8
 SMALL, SPLITS, LEVELS = 6, 3, 3
+BLOCK = 400_000
 _RANDOM = np.random.default_rng(20240601).integers(0, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _XOR, _MULTIPLY = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -102,13 +106,14 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 def _sketch(batches):
     for batch in batches:
-        nodes, found = [], []
+        nodes, found, sizes = [], [], []
         for node, raw in zip(batch.column("node"), batch.column("text").cast(pa.binary()), strict=True):
             kmers = labelled(raw.as_py())
             if len(kmers):
                 nodes.append(node.as_py())
                 found.append(sketches(kmers))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+                sizes.append(len(kmers))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["node", "s", "size"])
 
 
 def _verify(batches):
@@ -162,11 +167,59 @@ def _parts(keys: Column, own: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(keys, split)))
 
 
+def _across(block: pa.Table) -> pa.Table:
+    """Links between the left and the right texts of a block that have different roots, until those are one."""
+    nodes, roots = block.column("node").to_pylist(), block.column("root").to_pylist()
+    outer, side = block.column("outer").to_pylist(), np.array(block.column("is_left").to_pylist())
+    lefts, rights = np.flatnonzero(side), np.flatnonzero(~side)
+    a, b = [], []
+    if len(lefts) and len(rights):
+        kmers = [labelled(raw) for raw in block.column("text").cast(pa.binary()).to_pylist()]
+        sizes = np.array([len(x) for x in kmers])
+        vocabulary, ids = np.unique(np.concatenate(kmers), return_inverse=True)
+        own = np.split(ids, np.cumsum(sizes)[:-1])
+        theirs, starts = np.concatenate([own[r] for r in rights]), np.cumsum(sizes[rights]) - sizes[rights]
+        has, parent = np.zeros(len(vocabulary), dtype=np.int32), {r: r for r in roots}
+
+        def top(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i in lefts:
+            has[own[i]] = 1
+            both = np.add.reduceat(has[theirs], starts)
+            has[own[i]] = 0
+            for j in rights[both >= SIMILARITY * (sizes[i] + sizes[rights]) / (1 + SIMILARITY) - 1e-9]:
+                # two texts outside of the main component meet twice, once from either side
+                if (nodes[i] < nodes[j] or not outer[j]) and top(roots[i]) != top(roots[j]) and similarity(kmers[i], kmers[j]) >= SIMILARITY:
+                    parent[top(roots[i])] = top(roots[j])
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+    return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _rest(rows: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of links between components in larger buckets: every member outside of a bucket's main component (the one
+    with most k-mers) meets every member, in blocks."""
+    many = rows.where(F.col("n") > SMALL).select("key", "node").join(roots, "node", "left").join(sizes, "node")
+    held = c.stored(many.select("key", "node", "size", F.coalesce("root", "node").alias("root")), "held")
+    whole = held.groupBy("key", "root").agg(F.sum("size").alias("size")).groupBy("key")
+    mixed = whole.agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed = mixed.select("key", F.col("main.root").alias("main"), F.ceil(F.col("size") / BLOCK).alias("n_right"), F.ceil((F.col("size") - F.col("main.size")) / BLOCK).alias("n_left"))
+    members = c.stored(held.join(mixed, "key").withColumn("outer", F.col("root") != F.col("main")), "members")
+    at_left, at_right = (F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)) for n in ("n_left", "n_right"))
+    every_left, every_right = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("n_left", "n_right"))
+    left = members.where("outer").select("key", at_left.alias("i"), every_right.alias("j"), "node", "root", "outer", F.lit(True).alias("is_left"))
+    right = members.select("key", every_left.alias("i"), at_right.alias("j"), "node", "root", "outer", F.lit(False).alias("is_left"))
+    return left.unionAll(right).join(texts.hint("merge"), "node").groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(a, b) of nodes (MD5 of the text) that are alike."""
     named = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    sketched = c.stored(named.mapInArrow(_sketch, "node binary, s array<long>").dropDuplicates(["node"]), "sketches")
-    rows = c.stored(_sized(sketched.select("node", F.lit(True).alias("open"), F.explode("s").alias("key"))), "buckets")
+    sketched = c.stored(named.mapInArrow(_sketch, "node binary, s array<long>, size long").dropDuplicates(["node"]), "sketches")
+    rows = buckets = c.stored(_sized(sketched.select("node", F.lit(True).alias("open"), F.explode("s").alias("key"))), "buckets")
     # a text that many resemble shares the most buckets with the most texts; it makes the best hub
     known = rows.groupBy("node").agg(F.sum("n").alias("known"), F.collect_list(F.struct("key", "n")).alias("own"))
     ranked = known.select("node", "known", F.lit(True).alias("open"), F.inline("own"))
@@ -182,11 +235,13 @@ def links(docs: DataFrame) -> DataFrame:
         live = state.select("node", "open", F.explode("keys").alias("key")).join(open_keys, "key", "left_semi").groupBy("node", "open").agg(F.collect_list("key").alias("keys"))
         if live.isEmpty():
             break
-        rows = c.stored(_sized(live.join(sketched, "node").select("node", "open", F.explode(_parts(F.col("keys"), F.col("s"))).alias("key"))), "parts")
+        rows = c.stored(_sized(live.join(sketched.select("node", "s"), "node").select("node", "open", F.explode(_parts(F.col("keys"), F.col("s"))).alias("key"))), "parts")
         fresh = _within_small(rows).unionAll(_to_hubs(rows, F.xxhash64("key", "node"))).distinct()
         fresh = c.stored(_verified(fresh.join(checked, ["node", "hub"], "left_anti"), texts), "fresh")
         checked = checked.unionAll(fresh)
-    return checked.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    roots = c.stored(components(checked.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "joined")
+    rest = c.stored(_rest(buckets, sketched.select("node", "size"), roots, texts), "rest")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest)
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -153,6 +154,45 @@ def test_refinement_links_what_hubs_miss(spark):
     assert {found[i] for i in range(8)} == {0} and found[100] == 100
 
 
+def brute_classes(rows):
+    """Least id of each text's class, from all pairs by the operator's own measure."""
+    kmers = {i: orderhash.labelled(t.encode()) for i, t in rows}
+    sets = {i: frozenset(k.tolist()) for i, k in kmers.items()}
+    root = {i: i for i in kmers}
+    ids = sorted(kmers)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            need = orderhash.SIMILARITY * (len(sets[i]) + len(sets[j])) / (1 + orderhash.SIMILARITY)
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= need - 1e-9 and orderhash.similarity(kmers[i], kmers[j]) >= orderhash.SIMILARITY:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def edited(pick, words, share, tag):
+    """words with new ones in about this share of the five-word shingles."""
+    out = list(words)
+    for j in range(max(1, round(share * len(words) / 5))):
+        out[pick.randrange(len(out))] = f"{tag}e{j}"
+    return out
+
+
+def hold_against_brute_force(spark, rows):
+    found = {r["doc_id"]: r["class_id"] for r in orderhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    expected = brute_classes(rows)
+    assert 1 < len(set(expected.values())) < len(rows)
+    assert found == expected
+
+
+def test_drift_equals_brute_force(spark):
+    """Copies of random earlier copies of two texts: large buckets that are no star around one text."""
+    pick = random.Random(11)
+    texts = [[f"{name}{i}" for i in range(204)] for name in "wz"]
+    for i in range(2, 800):
+        texts.append(edited(pick, pick.choice(texts), 0.1, f"d{i}"))
+    hold_against_brute_force(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(50, 51), (52, 51), (60, 60)] + [(100, i) for i in range(101, 130)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
