@@ -193,6 +193,18 @@ def test_drift_equals_brute_force(spark):
     hold_against_brute_force(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
 
 
+def test_template_family_equals_brute_force(spark):
+    """Documents of one template below the threshold, some with a near copy: large buckets that hubs do not link."""
+    pick = random.Random(12)
+    rows, base = [], [f"w{i}" for i in range(204)]
+    for i in range(1200):
+        own = edited(pick, base, 0.2, f"t{i}")
+        rows.append((len(rows), " ".join(own)))
+        if i % 2 == 0:
+            rows.append((len(rows), " ".join(edited(pick, own, 0.1, f"c{i}"))))
+    hold_against_brute_force(spark, rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(50, 51), (52, 51), (60, 60)] + [(100, i) for i in range(101, 130)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
