@@ -1,0 +1,43 @@
+"""The queries over whole tables see every month."""
+
+import datetime
+
+import pytest
+
+from phylospark.plans import catalog
+
+
+@pytest.fixture(scope="module")
+def star(spark, tmp_path_factory):
+    """Two nations with the same part in January and each its own in June."""
+    path = str(tmp_path_factory.mktemp("star"))
+    dates = [datetime.date(1995, 1, 5), datetime.date(1995, 6, 5)]
+    tables = {
+        "part": ([(1, "A", "X", 5), (2, "B", "X", 6), (3, "C", "Y", 7)], "p_partkey long, p_type string, p_brand string, p_size int"),
+        "customer": ([(1, 0, "M"), (2, 1, "M")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "orders": ([(1, 1), (2, 2)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(1, 1, 2.0, dates[0]), (2, 1, 2.0, dates[0]), (1, 2, 60.0, dates[1]), (2, 3, 60.0, dates[1])], "l_orderkey long, l_partkey long, l_quantity double, l_shipdate date"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_every_month_counts(spark, star):
+    def only(name):
+        (row,) = catalog.queries()[name](spark, star).collect()
+        return row["distance"]
+
+    # branches of part 1: 4 + 2 + 1 shared; of part 2: 4 + 2 + 2; of part 3: 4 + 2 + 3
+    assert only("unweighted_fp64") == 0.0
+    assert only("unweighted_fp64_whole") == pytest.approx(17 / 24, abs=1e-6)
+    assert only("unweighted_unnormalized_fp64_whole") == pytest.approx(17.0)
+    assert catalog.queries()["subsample_with"](spark, star).count() == 0
+    assert {r["sample_id"] for r in catalog.queries()["subsample_with_whole"](spark, star).collect()} == {"00", "01"}
+
+
+def test_every_query_of_a_month_has_a_whole_one():
+    whole = {n.removesuffix("_whole") for n in catalog.queries() if n.endswith("_whole")}
+    sql = catalog.oracle_sql()
+    assert {n for n, text in sql.items() if "month(" in text} <= whole
+    assert not any("month(" in text for n, text in sql.items() if n.endswith("_whole"))
