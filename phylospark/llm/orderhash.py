@@ -18,7 +18,8 @@ have are counted, and only pairs with enough of them are aligned. A group of cop
 bounded number of comparisons per member; members of different components cost one per pair, which is the job. Equal
 texts are one node throughout.
 
-All texts at 0.8 or more that share a sketch are so in one class. Only a link between texts that share none is lost.
+All texts at 0.8 or more that share a sketch are so in one class. Only a link between texts that share none is lost;
+the tests hold the classes of a star, a drift and a template family against brute force over all pairs.
 
 Nulls: a null text is an empty one; documents without a word are alike only if their texts are equal. Texts under five
 words have one k-mer, all they have. A null doc_id is a document too, but names no class. Repeated rows are copies.

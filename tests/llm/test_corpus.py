@@ -205,6 +205,20 @@ def test_template_family_equals_brute_force(spark):
     hold_against_brute_force(spark, rows)
 
 
+def test_one_of_each_leaves_no_pair_at_the_threshold(spark):
+    """A star around one text and a drift, as near_dedup of the pipeline sees them: 0.8 by the operator's own measure."""
+    pick = random.Random(13)
+    star, drift = [f"s{i}" for i in range(204)], [[f"w{i}" for i in range(204)]]
+    for i in range(1, 400):
+        drift.append(edited(pick, pick.choice(drift), 0.1, f"d{i}"))
+    texts = [star, *(edited(pick, star, 0.1, f"c{i}") for i in range(300)), *drift]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    left = [tuple(r) for r in orderhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {r[0] for r in left} == set(brute_classes(rows).values())
+    kmers = [orderhash.labelled(t.encode()) for _, t in left]
+    assert all(orderhash.similarity(a, b) < orderhash.SIMILARITY for i, a in enumerate(kmers) for b in kmers[:i])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(50, 51), (52, 51), (60, 60)] + [(100, i) for i in range(101, 130)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
