@@ -41,8 +41,11 @@ class Fingerprint:
         self.distinct = np.unique(self.hashes)
 
     def text(self) -> str:
-        """Sixteen hexadecimal digits for each selected hash: ten of the hash, six of its position (modulo 2^24)."""
-        return ((self.hashes << np.uint64(24)) | (self.at & 0xFFFFFF).astype(np.uint64)).astype(">u8").tobytes().hex()
+        """Eighteen hexadecimal digits for each selected hash: ten of the hash, eight of its position."""
+        out = np.empty((len(self.at), 9), dtype=np.uint8)
+        out[:, :5] = self.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+        out[:, 5:] = self.at.astype(">u4").view(np.uint8).reshape(-1, 4)
+        return out.tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """Share of the distinct hashes of both that both have; 1 if neither has any."""

@@ -39,6 +39,15 @@ def test_winnowing_guarantee():
     assert set(a.hashes.tolist()) & set(b.hashes.tolist())
 
 
+def test_winnowing_text_keeps_whole_positions():
+    own = winnow.Fingerprint(winnow.points_of("some words, and then some more words " * 3))
+    own.at = own.at + np.uint32(1 << 24)
+    text = own.text()
+    cut = [text[i : i + 18] for i in range(0, len(text), 18)]
+    assert [(int(x[:10], 16), int(x[10:], 16)) for x in cut] == list(zip(own.hashes.tolist(), own.at.tolist(), strict=True))
+    assert min(own.at) >= 1 << 24 and winnow.Fingerprint(winnow.points_of("")).text() == ""
+
+
 def test_winnowing_query(docs, none, rows):
     found = winnow.compare_with_edits(docs).collect()
     tie = {r["text"]: r["h"] for r in docs.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()}
