@@ -25,13 +25,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node it is linked to, over any number of links) of every node in links (a, b). Null ends
     and links from a node to itself are left out; an empty table gives no rows."""
-    edges = c.stored(links.select("a", "b").where("a != b").distinct(), "edges")
-    last = None
+    edges = links.select("a", "b").where("a != b").distinct()
     while True:
         edges = c.stored(_small_star(_large_star(edges)).distinct(), "edges")
-        # done when each node hangs on one root and no root hangs on another: the state no longer changes
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
+        if _stars(edges):
             break
-        last = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root and no root hangs on another."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty()

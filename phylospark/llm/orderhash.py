@@ -5,21 +5,20 @@ the `PICKED` smallest labelled k-mers are sampled and kept in text order; a sket
 is sensitive to order as edit distance is. Two texts of similarity s share a sketch with a chance of about
 s ** PICKED each, so at s = 0.8 one of 12 is shared in 99.98 of 100 cases.
 
-Texts that share a sketch are a bucket. In a bucket of SMALL members or fewer all pairs are verified; in a larger one
-each member is verified against a hub, the member that shares the most buckets with the most texts. Verifying is by
-banded alignment: of the labelled k-mers that both have, at most `band` places apart, the longest chain that rises in
-both texts; similarity is its length over the k-mers of both less that length, and a link needs 0.8 or more. A member
-of a large bucket that nothing is linked to yet is not given up: its buckets are parted by SPLITS further sketches,
-with all their members, and each part is treated as a bucket with another hub, LEVELS times over. Texts above the
-threshold keep meeting (at 0.8, half of the parts hold both), others drop out of each other's parts. Hubs and parts
-only find most links cheaply; what decides is the rest: in each larger bucket whose members are not one component by
-then, all pairs of different components are compared, in blocks of about BLOCK k-mers a side. First k-mers that both
-have are counted, and only pairs with enough of them are aligned. A group of copies that its hubs join so costs a
-bounded number of comparisons per member; members of different components cost one per pair, which is the job. Equal
-texts are one node throughout.
+Texts that share a sketch are a bucket. Buckets are taken sketch by sketch, in the groups of PHASES. In each phase the
+members of a bucket that are of one component by then count as one: of each component one member is verified against
+the bucket's hub, a member of its most frequent component. Verifying is by banded alignment: of the labelled k-mers
+that both have, at most `band` places apart, the longest chain that rises in both texts; similarity is its length over
+the k-mers of both less that length, and a link needs 0.8 or more. Members of a hub are dealt to parts of PART, each
+with the hub's text once. What phases link is contracted before the next one, so a group of copies soon is one row in
+each of its buckets. Phases only find most links cheaply; what decides is the rest: in each bucket of three or more
+whose members are not one component by then, all pairs of different components are compared, in blocks of about BLOCK
+k-mers a side. First k-mers that both have are counted, and only pairs with enough of them are aligned. Members of
+different components cost a comparison per pair, which is the job. Equal texts are one node throughout.
 
 All texts at 0.8 or more that share a sketch are so in one class. Only a link between texts that share none is lost;
-the tests hold the classes of a star, a drift and a template family against brute force over all pairs.
+the tests hold the classes of a star, a drift, bridged communities and a template family against brute force over all
+pairs.
 
 Nulls: a null text is an empty one; documents without a word are alike only if their texts are equal. Texts under five
 words have one k-mer, all they have. A null doc_id is a document too, but names no class. Repeated rows are copies.
@@ -32,15 +31,16 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.llm import common as c
 from phylospark.llm.components import components
 
 WORDS, SKETCHES, PICKED, SIMILARITY = 5, 12, 3, 0.8
-SMALL, SPLITS, LEVELS = 6, 3, 3
-BLOCK = 400_000
+#: Places of the sketches that are taken together.
+PHASES = ((0, 1, 2, 3), (4, 5, 6, 7, 8, 9, 10, 11))
+PART, BLOCK = 256, 400_000
 _RANDOM = np.random.default_rng(20240601).integers(0, 2**63, size=(2, SKETCHES), dtype=np.uint64)
 _XOR, _MULTIPLY = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
@@ -118,54 +118,38 @@ def _sketch(batches):
 
 
 def _verify(batches):
-    hub, held = None, None
+    """Rows come sorted by hub and part, the hub's own text first."""
+    of, held = None, None
     for batch in batches:
-        a, b, linked = [], [], []
-        for node, of, raw, theirs in zip(batch.column("node"), batch.column("hub"), batch.column("text").cast(pa.binary()), batch.column("hub_text").cast(pa.binary()), strict=True):
-            of = of.as_py()
-            if of != hub:
-                hub, held = of, labelled(theirs.as_py())
-            a.append(node.as_py())
-            b.append(of)
-            linked.append(similarity(labelled(raw.as_py()), held) >= SIMILARITY)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(linked)], names=["node", "hub", "linked"])
+        a, b = [], []
+        for hub, part, node, raw in zip(batch.column("hub"), batch.column("part"), batch.column("node"), batch.column("text").cast(pa.binary()), strict=True):
+            hub, part, node = hub.as_py(), part.as_py(), node.as_py()
+            if node == hub:
+                of, held = (hub, part), labelled(raw.as_py())
+            elif of != (hub, part):
+                raise ValueError("a part without its hub")
+            elif similarity(labelled(raw.as_py()), held) >= SIMILARITY:
+                a.append(node)
+                b.append(hub)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, hub, linked) of pairs (node, hub); rows of a hub come one after another, so it is read once a task."""
-    joined = pairs.join(texts.hint("merge"), "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub")
-    return joined.select("node", "hub", "text", "hub_text").mapInArrow(_verify, "node binary, hub binary, linked boolean")
+    """Those of the pairs (node, hub), all different, that are alike, as (a, b)."""
+    sizes = c.stored(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "hubs")
+    members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"))
+    rows = members.unionAll(hubs).join(texts.hint("merge"), "node").repartition("hub", "part")
+    return rows.sortWithinPartitions("hub", "part", F.col("node") != F.col("hub")).select("hub", "part", "node", "text").mapInArrow(_verify, "a binary, b binary")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """rows (node, open, key) of buckets with two members or more, one of them open, with the bucket's size n."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_or("open").alias("some")).where("n > 1 AND some")
-    return rows.join(sizes.select("key", "n"), "key")
-
-
-def _within_small(rows: DataFrame) -> DataFrame:
-    """All pairs of buckets of SMALL members or fewer: at most (SMALL - 1) / 2 for each row. Of two members at least one
-    is open."""
-    few = rows.where(F.col("n") <= SMALL)
-    other = few.select("key", F.col("node").alias("hub"), F.col("open").alias("also"))
-    return few.join(other, "key").where("hub < node AND (open OR also)").select("node", "hub")
-
-
-def _to_hubs(rows: DataFrame, rank: Column) -> DataFrame:
-    """Of larger buckets, each open member with the bucket's member of the highest rank."""
-    many = rows.where(F.col("n") > SMALL)
-    hubs = many.groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "node"))["node"].alias("hub"))
-    return many.where("open").join(hubs, "key").where("node != hub").select("node", "hub")
-
-
-def _parts(keys: Column, own: Column) -> Column:
-    """For each bucket the keys of its SPLITS parts; which further sketches part it depends on the bucket alone."""
-
-    def split(key: Column) -> Column:
-        places = [F.pmod(F.xxhash64(key, F.lit(d)), F.lit(SKETCHES)).cast("int") for d in range(SPLITS)]
-        return F.array(*(F.xxhash64(key, i, F.get(own, i)) for i in places))
-
-    return F.array_distinct(F.flatten(F.transform(keys, split)))
+def _to_hubs(state: DataFrame, places: tuple[int, ...]) -> DataFrame:
+    """(node, hub): of each component in a bucket of these sketches one member, with the bucket's hub."""
+    rows = state.select("node", "root", F.explode(F.array(*(F.get("s", F.lit(i)) for i in places))).alias("key"))
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("key", "node").alias("rank"), "node"))["node"].alias("node"))
+    hubs = parts.groupBy("key").agg(F.max(F.struct("n", F.xxhash64("key", "node").alias("rank"), "node"))["node"].alias("hub"), F.count(F.lit(1)).alias("roots"))
+    hubs = c.stored(hubs.where("roots > 1").select("key", "hub"), "mixed")
+    return parts.select("key", "node").join(hubs, "key").where("node != hub").select("node", "hub").distinct()
 
 
 def _across(block: pa.Table) -> pa.Table:
@@ -200,15 +184,14 @@ def _across(block: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _rest(rows: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of links between components in larger buckets: every member outside of a bucket's main component (the one
-    with most k-mers) meets every member, in blocks."""
-    many = rows.where(F.col("n") > SMALL).select("key", "node").join(roots, "node", "left").join(sizes, "node")
-    held = c.stored(many.select("key", "node", "size", F.coalesce("root", "node").alias("root")), "held")
-    whole = held.groupBy("key", "root").agg(F.sum("size").alias("size")).groupBy("key")
-    mixed = whole.agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    mixed = mixed.select("key", F.col("main.root").alias("main"), F.ceil(F.col("size") / BLOCK).alias("n_right"), F.ceil((F.col("size") - F.col("main.size")) / BLOCK).alias("n_left"))
-    members = c.stored(held.join(mixed, "key").withColumn("outer", F.col("root") != F.col("main")), "members")
+def _rest(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of links between components in buckets of three members or more: every member outside of a bucket's main
+    component (the one with most k-mers) meets every member, in blocks."""
+    rows = state.select("node", "root", "size", F.explode("s").alias("key"))
+    whole = rows.groupBy("key", "root").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).groupBy("key")
+    mixed = whole.agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n")).where("roots > 1 AND n > 2")
+    mixed = c.stored(mixed.select("key", F.col("main.root").alias("main"), F.ceil(F.col("size") / BLOCK).alias("n_right"), F.ceil((F.col("size") - F.col("main.size")) / BLOCK).alias("n_left")), "mixed")
+    members = c.stored(rows.drop("size").join(mixed, "key").withColumn("outer", F.col("root") != F.col("main")), "members")
     at_left, at_right = (F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)) for n in ("n_left", "n_right"))
     every_left, every_right = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("n_left", "n_right"))
     left = members.where("outer").select("key", at_left.alias("i"), every_right.alias("j"), "node", "root", "outer", F.lit(True).alias("is_left"))
@@ -216,48 +199,45 @@ def _rest(rows: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame)
     return left.unionAll(right).join(texts.hint("merge"), "node").groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(a, b) of nodes (MD5 of the text) that are alike."""
-    named = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
+def _named(docs: DataFrame) -> DataFrame:
+    text = c.text_of(docs)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
+
+
+def _roots(docs: DataFrame) -> DataFrame:
+    """node (MD5 of the text), root (the least node of its class) of every text that is linked to another."""
+    named = _named(docs).select("node", "text")
     sketched = c.stored(named.mapInArrow(_sketch, "node binary, s array<long>, size long").dropDuplicates(["node"]), "sketches")
-    rows = buckets = c.stored(_sized(sketched.select("node", F.lit(True).alias("open"), F.explode("s").alias("key"))), "buckets")
-    # a text that many resemble shares the most buckets with the most texts; it makes the best hub
-    known = rows.groupBy("node").agg(F.sum("n").alias("known"), F.collect_list(F.struct("key", "n")).alias("own"))
-    ranked = known.select("node", "known", F.lit(True).alias("open"), F.inline("own"))
-    texts = c.stored(named.join(known.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    checked = c.stored(_verified(_within_small(rows).unionAll(_to_hubs(ranked, F.col("known"))).distinct(), texts), "checked")
-    for _ in range(LEVELS):
-        linked = checked.where("linked")
-        linked = linked.select("node").unionAll(linked.select("hub")).distinct()
-        # what no text is linked to yet is open, in buckets whose pairs were not all compared; a row for each text
-        texts_in = rows.where(F.col("n") > SMALL).groupBy("node").agg(F.collect_list("key").alias("keys"))
-        state = c.stored(texts_in.join(linked.withColumn("linked", F.lit(True)), "node", "left").select("node", F.col("linked").isNull().alias("open"), "keys"), "state")
-        open_keys = state.where("open").select(F.explode("keys").alias("key")).distinct()
-        live = state.select("node", "open", F.explode("keys").alias("key")).join(open_keys, "key", "left_semi").groupBy("node", "open").agg(F.collect_list("key").alias("keys"))
-        if live.isEmpty():
-            break
-        rows = c.stored(_sized(live.join(sketched.select("node", "s"), "node").select("node", "open", F.explode(_parts(F.col("keys"), F.col("s"))).alias("key"))), "parts")
-        fresh = _within_small(rows).unionAll(_to_hubs(rows, F.xxhash64("key", "node"))).distinct()
-        fresh = c.stored(_verified(fresh.join(checked, ["node", "hub"], "left_anti"), texts), "fresh")
-        checked = checked.unionAll(fresh)
-    roots = c.stored(components(checked.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "joined")
-    rest = c.stored(_rest(buckets, sketched.select("node", "size"), roots, texts), "rest")
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(rest)
+    shared = sketched.select(F.explode("s").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    state = sketched.select("node", "s", "size", F.explode("s").alias("key")).join(shared, "key", "left_semi").dropDuplicates(["node"]).select("node", "s", "size", F.col("node").alias("root"))
+    state = c.stored(state, "state")
+    texts = c.stored(named.join(state.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    roots = None
+    for places in PHASES:
+        linked = c.stored(_verified(c.stored(_to_hubs(state, places), "pairs"), texts), "linked")
+        roots, state = _contracted(linked, roots, state)
+    return _contracted(c.stored(_rest(state, texts), "rest"), roots, None)[0]
+
+
+def _contracted(linked: DataFrame, roots: DataFrame | None, state: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Components of new links (a, b) and of those that made roots, and the state with the new roots."""
+    if roots is not None:
+        linked = linked.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = c.stored(components(linked), "roots")
+    if state is None:
+        return roots, None
+    return roots, c.stored(state.drop("root").join(roots, "node", "left").select("node", "s", "size", F.coalesce("root", "node").alias("root")), "state")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, root (the least node of its class) of every row."""
-    text = c.text_of(docs)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
-    roots = c.stored(components(links(own)), "roots")
-    named = own.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"))
-    return named.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    return _named(docs).select("doc_id", "node").join(_roots(docs), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size of every row."""
     found = c.stored(classes(docs), "classes")
-    sizes = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    sizes = c.stored(found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "sizes")
     return found.join(sizes, "root").select("doc_id", "class_id", "class_size")
 
 
