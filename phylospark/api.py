@@ -3,7 +3,8 @@ tables or closures (DataFrames). Paths are validated as files are (two samples o
 memory only for having samples. Both must be paths or both in memory.
 
 Matrix functions return long DataFrames (rep, sample_i, sample_j, ord_i, ord_j, distance); sources.store.dense makes a
-matrix of one. `threads` and `n_substeps` are accepted and do not change results.
+matrix of one. `threads` is accepted and ignored: Spark deals out the work. `n_substeps` is
+the least number of tile pairs that the pairs of samples are cut into; it does not change results.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def load(table, phylogeny, files_checked: bool = True) -> tuple[tables.Table, Da
         spark = _spark()
         found = tables.read_table(spark, table)
         text = newick_text(spark, phylogeny)
-        tables.validate(found, text, files_checked)
+        tables.validate(found, files_checked)
         closure = newick.closure(newick.node_table(spark, text))
     elif isinstance(table, (tables.Table, DataFrame)) and isinstance(phylogeny, DataFrame):
         found = tables.table_of(table) if isinstance(table, DataFrame) else table
@@ -63,7 +64,7 @@ def one_off(table, phylogeny, method: str, variance_adjusted: bool = False, alph
     """Distances by method name: a family with nothing, _fp32 or _fp64 after it."""
     metrics.split_method(method)
     found, closure = load(table, phylogeny)
-    return diversity.beta(found.abundance, closure, found.samples, method, alpha, variance_adjusted, bypass_tips)
+    return diversity.beta(found.abundance, closure, found.samples, method, alpha, variance_adjusted, bypass_tips, n_substeps=n_substeps)
 
 
 def one_off_double(table, phylogeny, method: str, *args, **kwargs) -> DataFrame:
@@ -117,7 +118,7 @@ def run_to_store(table, phylogeny, out_filename, method, pcoa_dims=10, threads=1
     abundance = found.abundance
     if subsample_depth:
         abundance = diversity.subsample(abundance, subsample_depth, max(1, n_subsamples), _SEED["value"], subsample_with_replacement)
-    distance = diversity.beta(abundance, closure, found.samples, method, alpha, variance_adjusted, bypass_tips)
+    distance = diversity.beta(abundance, closure, found.samples, method, alpha, variance_adjusted, bypass_tips, n_substeps=n_substeps)
     return store.write(out_filename, distance, format, pcoa_dims, groups, columns, permanova_perms, _SEED["value"])
 
 
@@ -125,13 +126,13 @@ def _store_function(family: str, suffix: str):
     auto = "" if not suffix and family.startswith("unweighted") else "hdf5"
     if family == "generalized":
 
-        def call(table, phylogeny, out_filename, pcoa_dims=10, threads=1, alpha=1.0, variance_adjusted=False, bypass_tips=False, format=auto, **more):
-            return run_to_store(table, phylogeny, out_filename, _redirected(family, alpha) + suffix, pcoa_dims, threads, alpha, variance_adjusted, bypass_tips, format, **more)
+        def call(table, phylogeny, out_filename, pcoa_dims=10, threads=1, alpha=1.0, variance_adjusted=False, bypass_tips=False, format=auto, buf_dirname="", n_substeps=1, n_subsamples=1, subsample_depth=0, subsample_with_replacement=True, permanova_perms=0, grouping_filename="", grouping_columns=""):
+            return run_to_store(table, phylogeny, out_filename, _redirected(family, alpha) + suffix, pcoa_dims, threads, alpha, variance_adjusted, bypass_tips, format, buf_dirname, n_substeps, n_subsamples, subsample_depth, subsample_with_replacement, permanova_perms, grouping_filename, grouping_columns)
 
     else:
 
-        def call(table, phylogeny, out_filename, pcoa_dims=10, threads=1, variance_adjusted=False, bypass_tips=False, format=auto, **more):
-            return run_to_store(table, phylogeny, out_filename, family + suffix, pcoa_dims, threads, 1.0, variance_adjusted, bypass_tips, format, **more)
+        def call(table, phylogeny, out_filename, pcoa_dims=10, threads=1, variance_adjusted=False, bypass_tips=False, format=auto, buf_dirname="", n_substeps=1, n_subsamples=1, subsample_depth=0, subsample_with_replacement=True, permanova_perms=0, grouping_filename="", grouping_columns=""):
+            return run_to_store(table, phylogeny, out_filename, family + suffix, pcoa_dims, threads, 1.0, variance_adjusted, bypass_tips, format, buf_dirname, n_substeps, n_subsamples, subsample_depth, subsample_with_replacement, permanova_perms, grouping_filename, grouping_columns)
 
     call.__name__ = call.__qualname__ = f"{family}{suffix}_to_file"
     call.__doc__ = f"{family}{suffix} into a result directory; see run_to_store for the other parameters."
@@ -203,7 +204,7 @@ def meta(tables_, phylogenies, weights=None, threads=1, consolidation=None, meth
     family, precision = metrics.split_method(name)
     full = f"{_redirected(family, alpha) if family == 'generalized' else family}_{precision}"
     loaded = [load(t, p) for t, p in zip(tables_, phylogenies, strict=True)]
-    found = [diversity.beta(t.abundance, closure, t.samples, full, alpha, variance_adjusted, bypass_tips) for t, closure in loaded]
+    found = [diversity.beta(t.abundance, closure, t.samples, full, alpha, variance_adjusted, bypass_tips, n_substeps=n_substeps) for t, closure in loaded]
     return consolidate.consolidate(found, [t.samples for t, _ in loaded], list(weights), how)
 
 

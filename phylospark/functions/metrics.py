@@ -1,4 +1,4 @@
-"""Per-branch terms of the distance families, as Column expressions."""
+"""Names of the distance families, and how summed terms become a distance."""
 
 from __future__ import annotations
 
@@ -23,27 +23,6 @@ def split_method(method: str) -> tuple[str, str]:
     return method, suffix
 
 
-def terms(family: str, alpha: float, length: Column, ca: Column, cb: Column, ta: Column, tb: Column, adjusted: bool = False) -> tuple[Column, Column]:
-    """Numerator and denominator of one branch, given the two samples' counts below it and their totals."""
-    zero = F.lit(0.0)
-    if family.startswith("unweighted"):
-        a, b = (ca > 0).cast("double"), (cb > 0).cast("double")
-        top, bottom = F.abs(a - b), F.greatest(a, b)
-    else:
-        a, b = F.when(ta > 0, ca / ta).otherwise(zero), F.when(tb > 0, cb / tb).otherwise(zero)
-        both = a + b
-        top, bottom = F.abs(a - b), both
-        if family == "generalized":
-            top = F.when(both > 0, F.pow(both, F.lit(alpha - 1.0)) * top).otherwise(zero)
-            bottom = F.when(both > 0, F.pow(both, F.lit(float(alpha)))).otherwise(zero)
-    top, bottom = length * top, length * bottom
-    if adjusted:
-        m, total = ca + cb, ta + tb
-        weight = F.when((m > 0) & (m < total), 1.0 / F.sqrt(m * (total - m))).otherwise(zero)
-        top, bottom = top * weight, bottom * weight
-    return top, bottom
-
-
 def ratio(family: str, top: Column, bottom: Column) -> Column:
     """The distance from summed terms; 0 over 0 is 0, and rounding never makes it negative."""
     if family.endswith("unnormalized"):

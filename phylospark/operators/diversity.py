@@ -5,10 +5,15 @@ All plans carry `rep`, the subsample they belong to, so that several subsamples
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.functions import metrics
+from phylospark.functions import metrics, tiles
+
+#: Samples of a tile.
+TILE = 128
 
 
 def with_rep(rows: DataFrame) -> DataFrame:
@@ -39,71 +44,69 @@ def faith(abundance: DataFrame, closure: DataFrame, samples: DataFrame | None =
     return every.join(found, ["rep", "sample_id"], "left").select("rep", "sample_id", F.coalesce("faith_pd", F.lit(0.0)).alias("faith_pd"))
 
 
-def pair_table(samples: DataFrame, abundance: DataFrame) -> DataFrame:
-    """Every pair of samples once, with their totals; the result has these rows whatever the plan."""
-    total = totals(abundance)
-    known = with_rep(samples).join(total, ["rep", "sample_id"], "left") if "rep" in samples.columns or "rep" not in abundance.columns else total.join(samples, "sample_id")
-    known = known.select("rep", "sample_id", "ord", F.coalesce("total", F.lit(0.0)).alias("t"))
-    a = known.select("rep", *(F.col(k).alias(f"{k}_i") for k in ("sample_id", "ord", "t")))
-    b = known.select("rep", *(F.col(k).alias(f"{k}_j") for k in ("sample_id", "ord", "t")))
-    return a.join(b, (a["rep"] == b["rep"]) & (F.col("ord_i") < F.col("ord_j"))).drop(b["rep"])
+def _tiling(samples: DataFrame, n_substeps: int) -> DataFrame:
+    """One row: n samples, the size of a tile, and the number of tiles. `n_substeps` tile pairs are made at least, as
+    far as there are samples."""
+    least = math.ceil((math.sqrt(8 * max(1, n_substeps) + 1) - 1) / 2)
+    n = F.greatest(F.coalesce(F.max("ord"), F.lit(-1)) + 1, F.lit(1))
+    return samples.agg(n.cast("int").alias("n")).select("n", F.least(F.lit(TILE), F.ceil(F.col("n") / least)).cast("int").alias("size")).withColumn("tiles", F.ceil(F.col("n") / F.col("size")).cast("int"))
+
+
+def _dealt(rows: DataFrame, tiling: DataFrame, tiles_where: str | None) -> DataFrame:
+    """rows (with ord) once for each tile pair (tile_i <= tile_j) that their sample is in."""
+    tiled = rows.join(F.broadcast(tiling)).withColumn("tile", F.floor(F.col("ord") / F.col("size")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.withColumns({"tile_i": F.least("tile", "other"), "tile_j": F.greatest("tile", "other")})
+    return tiled.where(tiles_where) if tiles_where else tiled
+
+
+def pair_table(samples: DataFrame, abundance: DataFrame, tiling: DataFrame | None = None, tiles_where: str | None = None) -> DataFrame:
+    """Every pair of samples once; the result has these rows whatever the plan. Pairs meet tile by tile, so no task has
+    more than those of some tiles."""
+    if "rep" in abundance.columns and "rep" not in samples.columns:
+        known = abundance.select("rep", "sample_id").distinct().join(samples, "sample_id")
+    else:
+        known = with_rep(samples)
+    dealt = _dealt(known.select("rep", "sample_id", "ord"), _tiling(samples, 1) if tiling is None else tiling, tiles_where)
+    keys = ["rep", "tile_i", "tile_j"]
+    a = dealt.where("tile = tile_i").select(*keys, F.col("sample_id").alias("sample_id_i"), F.col("ord").alias("ord_i"))
+    b = dealt.where("tile = tile_j").select(*keys, F.col("sample_id").alias("sample_id_j"), F.col("ord").alias("ord_j"))
+    return a.join(b, keys).where("ord_i < ord_j").select("rep", "sample_id_i", "sample_id_j", "ord_i", "ord_j")
 
 
-def beta(abundance: DataFrame, closure: DataFrame, samples: DataFrame, method: str = "unweighted", alpha: float = 1.0, variance_adjusted: bool = False, bypass_tips: bool = False, pairs_where: str | None = None) -> DataFrame:
+def beta(abundance: DataFrame, closure: DataFrame, samples: DataFrame, method: str = "unweighted", alpha: float = 1.0, variance_adjusted: bool = False, bypass_tips: bool = False, pairs_where: str | None = None, tiles_where: str | None = None, n_substeps: int = 1) -> DataFrame:
     """rep, sample_i, sample_j, ord_i, ord_j, distance of every pair (ord_i < ord_j), double or float by the method.
 
-    Without variance adjustment a branch of one sample alone adds a term that does not depend on the partner, so the
-    sums are one aggregate per sample plus a correction over the edges both have: an equi-join on the edge. With it,
-    the term depends on the partner's total, and each pair gathers the edges of either.
+    Samples are cut into tiles. Each node count goes to the tile pairs that its sample is in, where a vectorised kernel
+    sums the branches' terms for all pairs at once; branches of a tile pair are dealt to as many parts as keep all
+    shuffle partitions busy, and the parts' sums are added. So no branch that all samples have is a hot key, and the
+    rows that are shuffled grow with samples / tile, not with the partners of a sample.
 
-    `pairs_where` keeps some of the pairs (by their columns) and is applied before anything is joined to them.
+    `pairs_where` keeps some of the pairs (by ord_i, ord_j); `tiles_where` is a condition on tile_i, tile_j, size and n
+    that all tile pairs with such pairs meet, applied before anything is shuffled.
     """
     family, precision = metrics.split_method(method)
+    tiling = _tiling(samples, n_substeps)
     nodes = node_counts(abundance, closure, bypass_tips).select("rep", "sample_id", "node_id", "length", "c")
-    pairs = pair_table(samples, abundance)
+    sized = nodes.join(totals(abundance), ["rep", "sample_id"]).join(samples.select("sample_id", "ord"), "sample_id")
+    tiled = _dealt(sized, tiling, tiles_where)
+    busy = F.lit(int(abundance.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = F.ceil(2 * busy / (F.col("tiles") * (F.col("tiles") + 1)))
+    keys = ["rep", "tile_i", "tile_j", "part"]
+    tiled = tiled.select(*keys[:3], F.pmod(F.xxhash64("node_id"), parts).cast("int").alias("part"), "size", "ord", F.concat(F.lit("b"), "node_id").alias("node_id"), F.col("length").cast("double").alias("length"), F.col("c").cast("double").alias("c"), F.col("total").cast("double").alias("t"))
+    if variance_adjusted:  # a branch's term depends on the totals of samples that don't have it, too
+        every = _dealt(totals(abundance).join(samples.select("sample_id", "ord"), "sample_id"), tiling, tiles_where)
+        tiled = tiled.unionByName(every.select(*keys[:3], F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"), "size", "ord", F.lit("").alias("node_id"), F.lit(0.0).alias("length"), F.lit(0.0).alias("c"), F.col("total").cast("double").alias("t")))
+    sums = tiled.repartition(*keys).sortWithinPartitions(*keys, "node_id").mapInArrow(tiles.summed(family, float(alpha), variance_adjusted), tiles.SCHEMA)
+    sums = sums.groupBy("rep", "ord_i", "ord_j").agg(F.sum("top").alias("top"), F.sum("bottom").alias("bottom"))
+    pairs = pair_table(samples, abundance, tiling, tiles_where)
     if pairs_where:
         pairs = pairs.where(pairs_where)
-    if variance_adjusted:
-        sums = _adjusted(nodes, pairs, family, alpha)
-    else:
-        sums = _decomposed(nodes, abundance, samples, pairs, family, alpha, pairs_where is not None)
-    distance = metrics.ratio(family, F.col("top"), F.col("bottom"))
+    zero = F.lit(0.0)
+    distance = metrics.ratio(family, F.coalesce("top", zero), F.coalesce("bottom", zero))
     if precision == "fp32":
         distance = distance.cast("float")
-    return sums.select("rep", F.col("sample_id_i").alias("sample_i"), F.col("sample_id_j").alias("sample_j"), "ord_i", "ord_j", distance.alias("distance"))
-
-
-def _decomposed(nodes: DataFrame, abundance: DataFrame, samples: DataFrame, pairs: DataFrame, family: str, alpha: float, some: bool) -> DataFrame:
-    zero = F.lit(0.0)
-    sized = nodes.join(totals(abundance), ["rep", "sample_id"]).join(samples.select("sample_id", "ord"), "sample_id")
-    top, bottom = metrics.terms(family, alpha, F.col("length"), F.col("c"), zero, F.col("total"), zero)
-    sized = sized.select("rep", "ord", "node_id", "length", "c", F.col("total").alias("t"), top.alias("top1"), bottom.alias("bottom1"))
-    single = sized.groupBy("rep", "ord").agg(F.sum("top1").alias("top"), F.sum("bottom1").alias("bottom"))
-    a = sized.select("rep", "node_id", "length", *(F.col(k).alias(f"{k}_i") for k in ("ord", "c", "t", "top1", "bottom1")))
-    b = sized.select("rep", "node_id", *(F.col(k).alias(f"{k}_j") for k in ("ord", "c", "t", "top1", "bottom1")))
-    shared = a.join(b, ["rep", "node_id"]).where("ord_i < ord_j")
-    if some:
-        shared = shared.join(pairs.select("rep", "ord_i", "ord_j"), ["rep", "ord_i", "ord_j"], "left_semi")
-    top, bottom = metrics.terms(family, alpha, F.col("length"), F.col("c_i"), F.col("c_j"), F.col("t_i"), F.col("t_j"))
-    shared = shared.groupBy("rep", "ord_i", "ord_j").agg(F.sum(top - F.col("top1_i") - F.col("top1_j")).alias("dtop"), F.sum(bottom - F.col("bottom1_i") - F.col("bottom1_j")).alias("dbottom"))
-    one = single.select("rep", F.col("ord").alias("ord_i"), F.col("top").alias("top_i"), F.col("bottom").alias("bottom_i"))
-    two = single.select("rep", F.col("ord").alias("ord_j"), F.col("top").alias("top_j"), F.col("bottom").alias("bottom_j"))
-    joined = pairs.join(shared, ["rep", "ord_i", "ord_j"], "left").join(one, ["rep", "ord_i"], "left").join(two, ["rep", "ord_j"], "left")
-
-    def total(k: str):
-        return F.coalesce(f"{k}_i", zero) + F.coalesce(f"{k}_j", zero) + F.coalesce(f"d{k}", zero)
-
-    return joined.select("rep", "sample_id_i", "sample_id_j", "ord_i", "ord_j", total("top").alias("top"), total("bottom").alias("bottom"))
-
-
-def _adjusted(nodes: DataFrame, pairs: DataFrame, family: str, alpha: float) -> DataFrame:
-    keys = ["rep", "sample_id_i", "sample_id_j", "ord_i", "ord_j", "t_i", "t_j"]
-    left = pairs.join(nodes.withColumnRenamed("sample_id", "sample_id_i"), ["rep", "sample_id_i"]).select(*keys, "node_id", "length", F.col("c").alias("c_i"), F.lit(0.0).alias("c_j"))
-    right = pairs.join(nodes.withColumnRenamed("sample_id", "sample_id_j"), ["rep", "sample_id_j"]).select(*keys, "node_id", "length", F.lit(0.0).alias("c_i"), F.col("c").alias("c_j"))
-    edges = left.unionAll(right).groupBy(*keys, "node_id").agg(F.first("length").alias("length"), F.sum("c_i").alias("c_i"), F.sum("c_j").alias("c_j"))
-    top, bottom = metrics.terms(family, alpha, F.col("length"), F.col("c_i"), F.col("c_j"), F.col("t_i"), F.col("t_j"), adjusted=True)
-    sums = edges.groupBy("rep", "ord_i", "ord_j").agg(F.sum(top).alias("top"), F.sum(bottom).alias("bottom"))
-    return pairs.join(sums, ["rep", "ord_i", "ord_j"], "left").select("rep", "sample_id_i", "sample_id_j", "ord_i", "ord_j", F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce("bottom", F.lit(0.0)).alias("bottom"))
+    return pairs.join(sums, ["rep", "ord_i", "ord_j"], "left").select("rep", F.col("sample_id_i").alias("sample_i"), F.col("sample_id_j").alias("sample_j"), "ord_i", "ord_j", distance.alias("distance"))
 
 
 def subsample(abundance: DataFrame, depth: int, n: int = 1, seed: int = 42, replacement: bool = True) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from phylospark.operators.diversity import beta
+from phylospark.session import materialized
 
 
 def count(n_samples: int) -> int:
@@ -24,16 +26,19 @@ def report(n_samples: int, n_partials: int) -> list[tuple[int, int]]:
 
 
 def partial(abundance: DataFrame, closure: DataFrame, samples: DataFrame, start: int, stop: int, method: str = "unweighted", **more) -> DataFrame:
-    """The distances of the stripes start, ..., stop - 1."""
+    """The distances of the stripes start, ..., stop - 1. Only tile pairs that reach into them are computed."""
     n = samples.count()
     stripe = f"least(ord_j - ord_i, {n} - (ord_j - ord_i)) - 1"
-    return beta(abundance, closure, samples, method, pairs_where=f"{stripe} >= {start} AND {stripe} < {stop}", **more)
+    # ord_j - ord_i runs from `least` to `most` in a tile pair; the stripes' pairs are d in (start, stop] and n - d
+    least, most = "greatest(1, (tile_j - tile_i - 1) * size + 1)", "(tile_j - tile_i + 1) * size - 1"
+    reach = f"({least} <= {stop} AND {most} > {start}) OR ({least} < {n - start} AND {most} >= {n - stop})"
+    return beta(abundance, closure, samples, method, pairs_where=f"{stripe} >= {start} AND {stripe} < {stop}", tiles_where=reach, **more)
 
 
 def merge(parts: list[DataFrame], n_samples: int) -> DataFrame:
     """All parts as one matrix; raises if pairs are missing or come twice."""
-    whole = reduce(DataFrame.unionByName, parts)
-    found = whole.select("rep", "sample_i", "sample_j")
-    if found.count() != n_samples * (n_samples - 1) // 2 or found.distinct().count() != found.count():
+    whole = materialized(reduce(DataFrame.unionByName, parts), "stripes")
+    found = whole.groupBy("rep", "sample_i", "sample_j").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (found[0] or 0) != n_samples * (n_samples - 1) // 2 or (found[1] or 1) > 1:
         raise ValueError("The partial results do not make a whole matrix.")
     return whole

@@ -24,14 +24,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which spark.checkpoint.dir names. Only where that is unset and all of
+    Spark is one local process, as in tests, a temporary folder of this machine serves, one for each application."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="phylospark-")
+    return _OWN[context.applicationId]
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset,
-    as in tests) a temporary one, which is then set for the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="phylospark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialized(rows: DataFrame, tag: str) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,21 +28,30 @@ def write(path: str, distance: DataFrame, format: str = "hdf5", pcoa_dims: int =
     kind = {"hdf5_fp32": "float", "hdf5_fp64": "double"}.get(format)
     if kind:
         distance = distance.withColumn("distance", F.col("distance").cast(kind))
+    _claim(spark, path, mode)
+    at = scratch(spark, "distance") if format == "hdf5_nodist" else f"{path}/distance"
+    distance.write.partitionBy("rep").mode(mode).parquet(at)
+    kept = spark.read.parquet(at)
+    ids = kept.select(F.col("ord_i").alias("ord"), F.col("sample_i").alias("sample_id")).unionAll(kept.select("ord_j", "sample_j")).distinct()
+    ids.write.mode(mode).parquet(f"{path}/order")
+    if pcoa_dims:
+        axes, coords = ordination.pcoa(kept, pcoa_dims, seed)
+        axes.withColumn("method", F.lit("FSVD")).write.mode(mode).parquet(f"{path}/pcoa_axes")
+        coords.write.mode(mode).parquet(f"{path}/pcoa_coords")
+    if permutations:
+        ordination.permanova(kept, groups, columns, permutations, seed).withColumn("place", F.monotonically_increasing_id()).write.mode(mode).parquet(f"{path}/permanova")
+    return path
+
+
+def _claim(spark: SparkSession, path: str, mode: str) -> None:
+    """Raises OSError unless the directory can be made, and is new if it has to be."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        at = scratch(spark, "distance") if format == "hdf5_nodist" else f"{path}/distance"
-        distance.write.partitionBy("rep").mode(mode).parquet(at)
-        kept = spark.read.parquet(at)
-        ids = kept.select(F.col("ord_i").alias("ord"), F.col("sample_i").alias("sample_id")).unionAll(kept.select("ord_j", "sample_j")).distinct()
-        ids.write.mode(mode).parquet(f"{path}/order")
-        if pcoa_dims:
-            axes, coords = ordination.pcoa(kept, pcoa_dims, seed)
-            axes.withColumn("method", F.lit("FSVD")).write.mode(mode).parquet(f"{path}/pcoa_axes")
-            coords.write.mode(mode).parquet(f"{path}/pcoa_coords")
-        if permutations:
-            ordination.permanova(kept, groups, columns, permutations, seed).withColumn("place", F.monotonically_increasing_id()).write.mode(mode).parquet(f"{path}/permanova")
-    except OSError as e:
+        if mode == "errorifexists" and system.exists(at) or not system.mkdirs(at):
+            raise OSError(errors.OUTPUT_ERROR)
+    except Py4JJavaError as e:
         raise OSError(errors.OUTPUT_ERROR) from e
-    return path
 
 
 class Results(Sequence):

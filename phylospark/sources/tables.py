@@ -83,10 +83,8 @@ def _read_biom(spark: SparkSession, path: str) -> Table:
     return table_of(spark.createDataFrame(rows, schemas.ABUNDANCE), spark.createDataFrame([(s, i) for i, s in enumerate(text[0])], schemas.SAMPLES))
 
 
-def validate(table: Table, newick: str | None = None, files: bool = True) -> None:
-    """Raises for the first of: no samples, fewer than two (files only), negative counts (files only), not Newick."""
-    from phylospark.sources.newick import is_newick
-
+def validate(table: Table, files: bool = True) -> None:
+    """Raises for the first of: no samples, fewer than two (files only), negative counts (files only)."""
     found = table.samples.limit(2).count()
     if found == 0:
         raise ValueError(errors.NO_SAMPLES)
@@ -95,8 +93,6 @@ def validate(table: Table, newick: str | None = None, files: bool = True) -> Non
             raise ValueError(errors.ONE_SAMPLE)
         if not table.abundance.where("count < 0").limit(1).isEmpty():
             raise ValueError(errors.NEGATIVES)
-    if newick is not None and not is_newick(newick):
-        raise ValueError(errors.NOT_NEWICK)
 
 
 def check_overlap(table: Table, closure: DataFrame) -> None:
