@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import warnings
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.functions import metrics
 from phylospark.session import materialized
 
-#: Samples up to which the centred matrix is decomposed exactly on the driver (8 bytes * n^2: 200 MB at most).
-EXACT = 5_000
+#: Samples up to which the centred matrix is decomposed exactly on the driver unless asked otherwise (8 bytes * n^2: 200
+#: MB at most); cells that come to it at a time; bytes of labels or of a thin matrix that are broadcast at most.
+EXACT, CELLS, BROADCAST = 5_000, 2_000_000, 64_000_000
+#: Tasks that permute labels.
+PERMUTERS = 64
 
 
 def gower(distance: DataFrame) -> DataFrame:
@@ -51,21 +57,33 @@ def _times(centred: DataFrame, place: dict[str, int], right: np.ndarray) -> np.n
     return out
 
 
-def decompose(centred: DataFrame, dims: int, seed: int = 42, exact: int = EXACT) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """Sample ids, the largest `dims` eigenvalues, their unit vectors, and the trace, of one centred matrix. Above
-    `exact` samples a randomized subspace iteration keeps the matrix on the executors."""
-    ids = sorted(r[0] for r in centred.select("sample_i").distinct().collect())
+def decompose(centred: DataFrame, dims: int, seed: int = 42, exact: bool | None = None) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Sample ids, the largest `dims` eigenvalues, their unit vectors, and the trace, of one centred matrix. exact: the
+    matrix is decomposed on the driver (8 bytes a cell); not exact: a randomized subspace iteration keeps it on the
+    executors, and only samples * axes numbers come to the driver. None: exact up to EXACT samples, with a warning
+    beyond."""
+    ids = sorted(r[0] for r in centred.select("sample_i").distinct().toLocalIterator())
     place = {s: i for i, s in enumerate(ids)}
     trace = float(centred.where("sample_i = sample_j").agg(F.sum("g")).first()[0] or 0.0)
     n, k = len(ids), min(dims, len(ids))
-    if n <= exact:
+    if exact is None:
+        exact = n <= EXACT
+        if not exact:
+            warnings.warn(f"{n} samples are decomposed approximately; pass exact=True for an exact decomposition on the driver.", stacklevel=3)
+    if exact:
         g = np.zeros((n, n))
-        for r in centred.select("sample_i", "sample_j", "g").toLocalIterator():
-            g[place[r[0]], place[r[1]]] = r[2]
+        # a stripe of rows at a time comes as Arrow blocks
+        for stripe in range(math.ceil(n * n / CELLS)):
+            own = centred.where(F.pmod(F.xxhash64("sample_i"), F.lit(math.ceil(n * n / CELLS))) == stripe).select("sample_i", "sample_j", "g").toArrow()
+            names = own.column("sample_i").combine_chunks().dictionary_encode(), own.column("sample_j").combine_chunks().dictionary_encode()
+            at = [np.array([place[s] for s in x.dictionary.to_pylist()], dtype=np.int64)[x.indices.to_numpy()] if len(x) else np.empty(0, dtype=np.int64) for x in names]
+            g[at[0], at[1]] = own.column("g").to_numpy()
         values, vectors = np.linalg.eigh((g + g.T) / 2)
         order = np.argsort(values)[::-1][:k]
         return ids, values[order], _signed(vectors[:, order]), trace
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(n, k + 10))))[0]
+    if basis.nbytes > BROADCAST:
+        raise ValueError(f"{n} samples and {k} axes need a broadcast of {basis.nbytes} bytes; {BROADCAST} are allowed")
     for _ in range(4):
         basis = np.linalg.qr(_times(centred, place, basis))[0]
     small = basis.T @ _times(centred, place, basis)
@@ -74,7 +92,7 @@ def decompose(centred: DataFrame, dims: int, seed: int = 42, exact: int = EXACT)
     return ids, values[order], _signed(basis @ vectors[:, order]), trace
 
 
-def pcoa(distance: DataFrame, dims: int = 10, seed: int = 42, exact: int = EXACT) -> tuple[DataFrame, DataFrame]:
+def pcoa(distance: DataFrame, dims: int = 10, seed: int = 42, exact: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """axes (rep, axis, eigval, proportion_explained) and coords (rep, sample_id, axis, value)."""
     spark: SparkSession = distance.sparkSession
     centred = materialized(gower(materialized(distance, "distance")), "centred")
@@ -87,30 +105,82 @@ def pcoa(distance: DataFrame, dims: int = 10, seed: int = 42, exact: int = EXACT
     return spark.createDataFrame(axes, "rep int, axis int, eigval double, proportion_explained double"), spark.createDataFrame(coords, "rep int, sample_id string, axis int, value double")
 
 
+def _within(shared, first: int):
+    """For mapInPandas: (rep, perm, total, within) of a batch's squared distances, for some permutations at once."""
+
+    def run(batches):
+        import pandas as pd
+
+        ids, codes, inverse = shared.value  # ids; group of each id in each permutation; 1 / group size
+        place = pd.Index(ids)
+        step = max(1, 4_000_000 // codes.shape[1])
+        for pdf in batches:
+            at = [place.get_indexer(pdf[k]) for k in ("sample_i", "sample_j")]
+            known = (at[0] >= 0) & (at[1] >= 0)
+            reps, squares = pdf["rep"].to_numpy(), pdf["distance"].to_numpy() ** 2
+            for rep in np.unique(reps[known]):
+                own = np.flatnonzero(known & (reps == rep))
+                sums = np.zeros(codes.shape[1])
+                for k in range(0, len(own), step):
+                    some = own[k : k + step]
+                    i, j = codes[at[0][some]], codes[at[1][some]]
+                    sums += np.where(i == j, squares[some][:, None] * inverse[i], 0.0).sum(axis=0)
+                yield type(pdf)({"rep": rep, "perm": first + np.arange(codes.shape[1]), "total": squares[own].sum(), "within": sums})
+
+    return run
+
+
 def permanova(distance: DataFrame, groups: DataFrame, columns: list[str], permutations: int = 999, seed: int = 42) -> DataFrame:
     """rep, grouping, method, test_name, sample_size, n_groups, statistic, p_value, n_permutations for each column of
-    groups (sample_id, ...). Samples without a label are left out. Permutation 0 is the data as it is."""
+    groups (sample_id, ...). Samples without a label are left out. Permutation 0 is the data as it is.
+
+    Labels are broadcast for as many permutations at a time as BROADCAST allows; each distance meets all of those as
+    vectors. Raises ValueError unless there are two groups or more, and more samples than groups. Where groups have no
+    distances inside, the statistic is infinite; where there are none at all, it and p are null."""
     spark, out = distance.sparkSession, None
-    distance = materialized(distance, "distance")
+    distance = materialized(distance.select("rep", "sample_i", "sample_j", F.col("distance").cast("double").alias("distance")), "distance")
     ids = distance.select(F.col("sample_i").alias("sample_id")).unionAll(distance.select("sample_j")).distinct()
-    perms = spark.range(permutations + 1).select(F.col("id").cast("int").alias("perm"))
     for column in columns:
         label = groups.join(ids, "sample_id").where(F.col(column).isNotNull()).select("sample_id", F.col(column).cast("string").alias("label"))
-        label = label.withColumn("at", F.row_number().over(Window.orderBy("sample_id")))
-        shuffled = label.join(F.broadcast(perms)).withColumn("to", F.when(F.col("perm") == 0, F.col("at")).otherwise(F.row_number().over(Window.partitionBy("perm").orderBy(metrics.uniform(str(seed), F.col("perm"), F.col("sample_id")), "sample_id"))))
-        # the label of the sample whose rank is `to` goes to the sample at place `to`
-        dealt = shuffled.select("perm", F.col("to").alias("at"), "label").join(label.select("at", "sample_id"), "at").select("perm", "sample_id", "label")
-        sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        i = dealt.select("perm", F.col("sample_id").alias("sample_i"), F.col("label").alias("li"))
-        j = dealt.select("perm", F.col("sample_id").alias("sample_j"), F.col("label").alias("lj"))
-        square = distance.select("rep", "sample_i", "sample_j", (F.col("distance").cast("double") ** 2).alias("q"))
-        pairs = square.join(i, "sample_i").join(j, ["perm", "sample_j"]).join(F.broadcast(sizes.withColumnRenamed("label", "li")), "li")
-        n, a = label.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
-        sums = pairs.groupBy("rep", "perm").agg((F.sum("q") / n).alias("total"), F.sum(F.when(F.col("li") == F.col("lj"), F.col("q") / F.col("n")).otherwise(0.0)).alias("within"))
-        f = sums.select("rep", "perm", ((F.col("total") - F.col("within")) / (a - 1) / (F.col("within") / (n - a))).alias("f"))
+        label = materialized(label, "label")
+        rows = sorted(map(tuple, label.toLocalIterator()))  # as many as the distance matrix has rows
+        names, codes, sizes = np.unique([r[1] for r in rows], return_inverse=True, return_counts=True) if rows else ([], [], [])
+        n, a = len(rows), len(names)
+        if a < 2 or n <= a:
+            raise ValueError(f"The grouping '{column}' has {a} groups for {n} samples; two groups are needed, and more samples than groups.")
+        if len({r[0] for r in rows}) < n:
+            raise ValueError(f"The grouping '{column}' has several labels for a sample.")
+        ordered, codes = [r[0] for r in rows], codes.astype(np.int32)
+        own_labels = spark.sparkContext.broadcast((ordered, codes))
+        chunk, sums = max(1, BROADCAST // (4 * n)), None
+        for first in range(0, permutations + 1, chunk):
+            last = min(first + chunk, permutations + 1)
+            dealt = spark.range(first, last, 1, min(last - first, PERMUTERS)).mapInPandas(_dealt(own_labels, seed), "perm long, codes binary").orderBy("perm").collect()
+            shared = spark.sparkContext.broadcast((ordered, np.stack([np.frombuffer(r["codes"], dtype=np.int32) for r in dealt], axis=1), 1.0 / sizes))
+            part = distance.mapInPandas(_within(shared, first), "rep int, perm int, total double, within double").groupBy("rep", "perm").agg((F.sum("total") / n).alias("total"), F.sum("within").alias("within"))
+            sums = part if sums is None else sums.unionAll(part)
+        between = F.greatest(F.col("total") - F.col("within"), F.lit(0.0))
+        ratio = F.try_divide(between / (a - 1), F.col("within") / (n - a))
+        f = materialized(sums.select("rep", "perm", F.coalesce(ratio, F.when(F.col("total") > 0, F.lit(float("inf")))).alias("f")), "tests")
         own = f.where("perm = 0").select("rep", F.col("f").alias("statistic"))
         found = f.where("perm > 0").join(own, "rep", "right").groupBy("rep", "statistic").agg(F.sum(F.when(F.col("f") >= F.col("statistic") - 1e-12, 1).otherwise(0)).alias("over"))
-        p = (1.0 + F.col("over")) / (1.0 + permutations) if permutations else F.lit(None).cast("double")
+        p = F.when(F.col("statistic").isNotNull(), (1.0 + F.col("over")) / (1.0 + permutations)) if permutations else F.lit(None).cast("double")
         rows = found.select("rep", F.lit(column).alias("grouping"), F.lit("PERMANOVA").alias("method"), F.lit("pseudo-F").alias("test_name"), F.lit(n).cast("int").alias("sample_size"), F.lit(a).cast("int").alias("n_groups"), "statistic", p.alias("p_value"), F.lit(permutations).alias("n_permutations"))
         out = rows if out is None else out.unionAll(rows)
     return out
+
+
+def _dealt(shared, seed: int):
+    """For mapInPandas: of each permutation the groups of the ids, as 32-bit integers. The label of the id whose hash has
+    rank r goes to the r-th id."""
+
+    def run(batches):
+        ids, codes = shared.value
+        for pdf in batches:
+            dealt = []
+            for perm in pdf["id"].tolist():
+                keys = [(hashlib.md5(f"{seed}|{perm}|{s}".encode()).hexdigest()[:12], s) for s in ids]
+                dealt.append((codes[sorted(range(len(keys)), key=keys.__getitem__)] if perm else codes).tobytes())
+            yield type(pdf)({"perm": pdf["id"], "codes": dealt})
+
+    return run
