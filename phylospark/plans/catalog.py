@@ -3,8 +3,6 @@ sparse edge joins and per-sample sums, the SQL meets every pair with every edge.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +12,6 @@ from phylospark.session import scratch
 from phylospark.sources import store
 
 ROUND = 6
-#: The month the queries without a suffix are held to; those named _whole read lineitem whole.
-MONTH = 1
 #: Half of the nations each, so that both tables of `meta` lack samples the other has.
 FIRST, SECOND = "n < 18", "n > 4"
 DEPTH, REPS, SEED, PERMUTATIONS = 50, 3, 42, 49
@@ -29,17 +25,17 @@ def _pairs(rows: DataFrame, rep: bool = False) -> DataFrame:
     return _rounded(rows.select(*(["rep"] if rep else []), "sample_i", "sample_j", "distance"), "distance")
 
 
-def _beta(method: str, month: int | None = MONTH, alpha: float = 1.0, adjusted: bool = False, bypass: bool = False):
+def _beta(method: str, alpha: float = 1.0, adjusted: bool = False, bypass: bool = False):
     def query(spark, sf_dir):
-        t = model.study(spark, sf_dir, month=month)
+        t = model.study(spark, sf_dir)
         return _pairs(diversity.beta(t.abundance, model.tree(spark, sf_dir), t.samples, method, alpha, adjusted, bypass))
 
     return query
 
 
-def _beta_sql(family: str, month: int | None = MONTH, alpha: float = 1.0, adjusted: bool = False, bypass: bool = False, single: bool = False) -> str:
+def _beta_sql(family: str, alpha: float = 1.0, adjusted: bool = False, bypass: bool = False, single: bool = False) -> str:
     value = "distance::FLOAT::DOUBLE" if single else "distance"
-    return f"WITH {model.TREE_SQL}, {model.study_sql(month=month)}, {model.beta_sql(family, alpha, adjusted, bypass)} SELECT sample_i, sample_j, round({value}, 6) AS distance FROM dist"
+    return f"WITH {model.TREE_SQL}, {model.study_sql()}, {model.beta_sql(family, alpha, adjusted, bypass)} SELECT sample_i, sample_j, round({value}, 6) AS distance FROM dist"
 
 
 def _wide(spark, sf_dir):
@@ -71,23 +67,23 @@ def _validate(spark, sf_dir):
     return facts.join(missing)
 
 
-def _dense_pair(family: str, alpha: float = 1.0, month: int | None = MONTH):
+def _dense_pair(family: str, alpha: float = 1.0):
     def query(spark, sf_dir):
-        t = model.study(spark, sf_dir, month=month, keep="n IN (3, 17)")
+        t = model.study(spark, sf_dir, keep="n IN (3, 17)")
         return _pairs(diversity.beta(t.abundance, model.tree(spark, sf_dir), t.samples, f"{family}_fp64", alpha))
 
     return query
 
 
-def _dense_pair_sql(family: str, alpha: float = 1.0, month: int | None = MONTH) -> str:
-    return f"WITH {model.TREE_SQL}, {model.study_sql(month=month, keep='n IN (3, 17)')}, {model.beta_sql(family, alpha)} SELECT sample_i, sample_j, round(distance, 6) AS distance FROM dist"
+def _dense_pair_sql(family: str, alpha: float = 1.0) -> str:
+    return f"WITH {model.TREE_SQL}, {model.study_sql(keep='n IN (3, 17)')}, {model.beta_sql(family, alpha)} SELECT sample_i, sample_j, round(distance, 6) AS distance FROM dist"
 
 
-def _meta(how: str, month: int | None = MONTH):
+def _meta(how: str):
     def query(spark, sf_dir):
         # for whole matrices the second table has every nation, or none would be complete
         keep = (FIRST, None if how == "skipping_missing_matrices" else SECOND)
-        tables = [model.study(spark, sf_dir, month=month, keep=k) for k in keep]
+        tables = [model.study(spark, sf_dir, keep=k) for k in keep]
         trees = [model.tree(spark, sf_dir), model.tree(spark, sf_dir, second=True)]
         found = [diversity.beta(t.abundance, c, t.samples, "unweighted_fp64") for t, c in zip(tables, trees, strict=True)]
         return _pairs(consolidate.consolidate(found, [t.samples for t in tables], [1.0, 2.0], how))
@@ -95,13 +91,13 @@ def _meta(how: str, month: int | None = MONTH):
     return query
 
 
-def _meta_sql(how: str, month: int | None = MONTH) -> str:
+def _meta_sql(how: str) -> str:
     whole = how == "skipping_missing_matrices"
     value = {
         "missing_zero": "coalesce(sum(w * distance), 0)",
         "missing_one": "coalesce(sum(w * distance), 0) + 1 - coalesce(sum(w), 0)",
     }.get(how, "sum(w * distance) / sum(w)")
-    return f"""WITH {model.TREE_SQL}, {model.TREE2_SQL}, {model.study_sql(month=month, keep=FIRST, suffix="_a")}, {model.study_sql(month=month, keep=None if whole else SECOND, suffix="_b")},
+    return f"""WITH {model.TREE_SQL}, {model.TREE2_SQL}, {model.study_sql(keep=FIRST, suffix="_a")}, {model.study_sql(keep=None if whole else SECOND, suffix="_b")},
 {model.beta_sql("unweighted", suffix="_a", name="dist_a")}, {model.beta_sql("unweighted", suffix="_b", closure="closure2", name="dist_b")},
 tagged AS ({"" if whole else "SELECT sample_i, sample_j, distance, 1 / 3.0::DOUBLE AS w FROM dist_a UNION ALL "}SELECT sample_i, sample_j, distance, 2 / 3.0::DOUBLE FROM dist_b),
 every AS (SELECT sample_id FROM samples_a UNION SELECT sample_id FROM samples_b),
@@ -109,11 +105,11 @@ named AS (SELECT * FROM tagged AS t(sample_i, sample_j, distance, w))
 SELECT a.sample_id AS sample_i, b.sample_id AS sample_j, round({value}, 6) AS distance FROM every a JOIN every b ON a.sample_id < b.sample_id LEFT JOIN named ON sample_i = a.sample_id AND sample_j = b.sample_id GROUP BY ALL"""
 
 
-def _draw(spark, sf_dir, replacement: bool, reps: int, month: int | None = MONTH):
-    return diversity.subsample(model.study(spark, sf_dir, month=month).abundance, DEPTH, reps, SEED, replacement)
+def _draw(spark, sf_dir, replacement: bool, reps: int):
+    return diversity.subsample(model.study(spark, sf_dir).abundance, DEPTH, reps, SEED, replacement)
 
 
-def _draw_sql(replacement: bool, reps: int = REPS, month: int | None = MONTH) -> str:
+def _draw_sql(replacement: bool, reps: int = REPS) -> str:
     whole = f"whole AS (SELECT sample_id, sum(count)::BIGINT AS total FROM abundance GROUP BY 1 HAVING sum(count) >= {DEPTH}), reps AS (SELECT unnest(range({reps}))::INT AS rep)"
     hashed = "('0x' || substr(md5(concat_ws('|', '{seed}', {parts})), 1, 12))::BIGINT"
     if replacement:
@@ -126,38 +122,38 @@ drawn AS (SELECT rep, d.sample_id, feature_id, count(*)::DOUBLE AS count FROM dr
         drawn = f"""placed AS (SELECT rep, sample_id, feature_id, row_number() OVER (PARTITION BY rep, sample_id ORDER BY {u}, feature_id, k) AS place
   FROM (SELECT sample_id, feature_id, unnest(range(1, count::INT + 1)) AS k FROM abundance JOIN whole USING (sample_id)), reps),
 drawn AS (SELECT rep, sample_id, feature_id, count(*)::DOUBLE AS count FROM placed WHERE place <= {DEPTH} GROUP BY ALL)"""
-    return f"WITH {model.TREE_SQL}, {model.study_sql(month=month)}, {whole}, {drawn}"
+    return f"WITH {model.TREE_SQL}, {model.study_sql()}, {whole}, {drawn}"
 
 
-def _subsample(replacement: bool, month: int | None = MONTH):
-    return lambda spark, sf_dir: _draw(spark, sf_dir, replacement, REPS, month)
+def _subsample(replacement: bool):
+    return lambda spark, sf_dir: _draw(spark, sf_dir, replacement, REPS)
 
 
-def _subsample_faith(spark, sf_dir, month: int | None = MONTH):
-    found = diversity.faith(_draw(spark, sf_dir, True, REPS, month), model.tree(spark, sf_dir))
+def _subsample_faith(spark, sf_dir):
+    found = diversity.faith(_draw(spark, sf_dir, True, REPS), model.tree(spark, sf_dir))
     return _rounded(found, "faith_pd")
 
 
-def _multi_beta(spark, sf_dir, month: int | None = MONTH):
-    drawn = _draw(spark, sf_dir, True, 2, month)
-    return _pairs(diversity.beta(drawn, model.tree(spark, sf_dir), model.study(spark, sf_dir, month=month).samples, "unweighted_fp64"), rep=True)
+def _multi_beta(spark, sf_dir):
+    drawn = _draw(spark, sf_dir, True, 2)
+    return _pairs(diversity.beta(drawn, model.tree(spark, sf_dir), model.study(spark, sf_dir).samples, "unweighted_fp64"), rep=True)
 
 
-def _distance(spark, sf_dir, month: int | None = MONTH):
-    t = model.study(spark, sf_dir, month=month)
+def _distance(spark, sf_dir):
+    t = model.study(spark, sf_dir)
     return diversity.beta(t.abundance, model.tree(spark, sf_dir), t.samples, "unweighted_fp64")
 
 
-def _permanova(columns: list[str], *wanted: str, month: int | None = MONTH):
+def _permanova(columns: list[str], *wanted: str):
     def query(spark, sf_dir):
-        found = ordination.permanova(_distance(spark, sf_dir, month), model.groups(spark, sf_dir), columns, PERMUTATIONS, SEED)
+        found = ordination.permanova(_distance(spark, sf_dir), model.groups(spark, sf_dir), columns, PERMUTATIONS, SEED)
         rounded = [w for w in wanted if w in ("statistic", "p_value")]
         return _rounded(found.select("grouping", *wanted), *rounded)
 
     return query
 
 
-def _permanova_sql(columns: list[str], *wanted: str, month: int | None = MONTH) -> str:
+def _permanova_sql(columns: list[str], *wanted: str) -> str:
     u = f"('0x' || substr(md5(concat_ws('|', '{SEED}', perm, sample_id)), 1, 12))::BIGINT"
     expression = {
         "statistic": "round(max(f) FILTER (perm = 0), 6) AS statistic",
@@ -165,7 +161,7 @@ def _permanova_sql(columns: list[str], *wanted: str, month: int | None = MONTH)
         "sample_size": "any_value(n)::INT AS sample_size",
         "n_groups": "any_value(a)::INT AS n_groups",
     }
-    return f"""WITH {model.TREE_SQL}, {model.study_sql(month=month)}, {model.beta_sql("unweighted")},
+    return f"""WITH {model.TREE_SQL}, {model.study_sql()}, {model.beta_sql("unweighted")},
 labels AS ({" UNION ALL ".join(f"SELECT '{c}' AS grouping, lpad(n_nationkey::VARCHAR, 2, '0') AS sample_id, {'n_regionkey' if c == 'region' else '(n_nationkey % 2)'}::VARCHAR AS label FROM nation WHERE lpad(n_nationkey::VARCHAR, 2, '0') IN (SELECT sample_id FROM samples)" for c in columns)}),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY grouping ORDER BY sample_id) AS spot FROM labels),
 shuffled AS (SELECT grouping, perm, label, CASE WHEN perm = 0 THEN spot ELSE row_number() OVER (PARTITION BY grouping, perm ORDER BY {u}, sample_id) END AS spot FROM numbered, (SELECT unnest(range({PERMUTATIONS + 1})) AS perm)),
@@ -183,92 +179,86 @@ _GOWER = """square AS (SELECT sample_i, sample_j, distance * distance AS q FROM
 means AS (SELECT sample_i AS s, avg(q) AS m FROM full_ GROUP BY 1), g AS (SELECT sample_i, sample_j, -0.5 * (q - a.m - b.m + (SELECT avg(m) FROM means)) AS g FROM full_ JOIN means a ON a.s = sample_i JOIN means b ON b.s = sample_j)"""
 
 
-def _gower_sql(select: str, month: int | None = MONTH) -> str:
-    return f"WITH {model.TREE_SQL}, {model.study_sql(month=month)}, {model.beta_sql('unweighted')}, {_GOWER} {select}"
+def _gower_sql(select: str) -> str:
+    return f"WITH {model.TREE_SQL}, {model.study_sql()}, {model.beta_sql('unweighted')}, {_GOWER} {select}"
 
 
-def _gower(spark, sf_dir, month: int | None = MONTH):
+def _gower(spark, sf_dir):
     # half a unit in the seventh place separates no sums here; + 0.0 makes -0 into 0
-    found = ordination.gower(_distance(spark, sf_dir, month)).select("sample_i", "sample_j", "g")
+    found = ordination.gower(_distance(spark, sf_dir)).select("sample_i", "sample_j", "g")
     return found.withColumn("g", F.round("g", ROUND) + F.lit(0.0))
 
 
-def _pcoa_trace(spark, sf_dir, month: int | None = MONTH):
-    return _rounded(ordination.gower(_distance(spark, sf_dir, month)).where("sample_i = sample_j").agg(F.sum("g").alias("trace")), "trace")
+def _pcoa_trace(spark, sf_dir):
+    return _rounded(ordination.gower(_distance(spark, sf_dir)).where("sample_i = sample_j").agg(F.sum("g").alias("trace")), "trace")
 
 
-def _pcoa_total(spark, sf_dir, month: int | None = MONTH):
+def _pcoa_total(spark, sf_dir):
     """All axes: eigenvalues add up to the trace, so their shares to 1."""
-    axes, _ = ordination.pcoa(_distance(spark, sf_dir, month), 10_000)
+    axes, _ = ordination.pcoa(_distance(spark, sf_dir), 10_000)
     return _rounded(axes.agg(F.sum("eigval").alias("total"), F.sum("proportion_explained").alias("proportion")), "total", "proportion")
 
 
-def _pcoa_axes(spark, sf_dir, month: int | None = MONTH):
-    return _rounded(ordination.pcoa(_distance(spark, sf_dir, month), 10)[0], "eigval", "proportion_explained")
+def _pcoa_axes(spark, sf_dir):
+    return _rounded(ordination.pcoa(_distance(spark, sf_dir), 10)[0], "eigval", "proportion_explained")
 
 
-def _pcoa_coords(spark, sf_dir, month: int | None = MONTH):
-    return _rounded(ordination.pcoa(_distance(spark, sf_dir, month), 10)[1], "value")
+def _pcoa_coords(spark, sf_dir):
+    return _rounded(ordination.pcoa(_distance(spark, sf_dir), 10)[1], "value")
 
 
-def _stored(read, month: int | None = MONTH):
+def _stored(read):
     def query(spark, sf_dir):
         path = scratch(spark, "result")
-        store.write(path, _distance(spark, sf_dir, month), pcoa_dims=3, groups=model.groups(spark, sf_dir), columns=["region", "parity"], permutations=PERMUTATIONS, seed=SEED)
+        store.write(path, _distance(spark, sf_dir), pcoa_dims=3, groups=model.groups(spark, sf_dir), columns=["region", "parity"], permutations=PERMUTATIONS, seed=SEED)
         return read(store.Results(spark, path))
 
     return query
 
 
-def _stripes(spark, sf_dir, month: int | None = MONTH):
+def _stripes(spark, sf_dir):
     """Every stripe range computed on its own, then merged."""
-    t = model.study(spark, sf_dir, month=month)
+    t = model.study(spark, sf_dir)
     parts = [stripes.partial(t.abundance, model.tree(spark, sf_dir), t.samples, start, stop, "unweighted_fp64") for start, stop in stripes.report(t.samples.count(), 3)]
     return _pairs(stripes.merge(parts, t.samples.count()))
 
 
-def _of_month(month: int | None):
-    """The queries that one month of lineitem is asked of, or all of it."""
-    out = {}
+def queries():
+    out = {"faith_pd": _faith, "node_counts": _node_counts, "sample_totals": _totals, "abundance_validate": _validate, "weighted_normalized_wide": _wide}
     for family in ("unweighted", "unweighted_unnormalized", "weighted_normalized", "weighted_unnormalized"):
-        out |= {family: _beta(family, month=month), f"{family}_fp64": _beta(f"{family}_fp64", month=month), f"{family}_vaw": _beta(f"{family}_fp64", adjusted=True, month=month), f"{family}_bypass": _beta(f"{family}_fp64", bypass=True, month=month), f"{family}_dense_pair": _dense_pair(family, month=month)}
-    out |= {f"generalized_a{str(a).replace('.', '').rstrip('0') or '0'}": _beta("generalized_fp64", alpha=a, month=month) for a in (0.0, 0.5, 1.0)}
-    out |= {"generalized_fp32": _beta("generalized_fp32", alpha=0.3, month=month), "generalized_vaw": _beta("generalized_fp64", alpha=0.5, adjusted=True, month=month), "generalized_bypass": _beta("generalized_fp64", alpha=0.5, bypass=True, month=month), "generalized_dense_pair": _dense_pair("generalized", 0.5, month=month)}
-    out |= {f"meta_{how}": _meta(how, month) for how in consolidate.CONSOLIDATIONS}
-    out |= {"subsample_with": _subsample(True, month), "subsample_without": _subsample(False, month), "subsample_faith": partial(_subsample_faith, month=month), "multi_subsample_unweighted": partial(_multi_beta, month=month)}
-    out |= {"permanova_f": _permanova(["region"], "statistic", "sample_size", "n_groups", month=month), "permanova_p": _permanova(["region"], "p_value", month=month), "permanova_multi_column": _permanova(["region", "parity"], "statistic", "p_value", month=month)}
-    out |= {"gower_center": partial(_gower, month=month), "pcoa_trace": partial(_pcoa_trace, month=month), "pcoa_total": partial(_pcoa_total, month=month), "pcoa_axes": partial(_pcoa_axes, month=month), "pcoa_coords": partial(_pcoa_coords, month=month)}
+        out |= {family: _beta(family), f"{family}_fp64": _beta(f"{family}_fp64"), f"{family}_vaw": _beta(f"{family}_fp64", adjusted=True), f"{family}_bypass": _beta(f"{family}_fp64", bypass=True), f"{family}_dense_pair": _dense_pair(family)}
+    out |= {f"generalized_a{str(a).replace('.', '').rstrip('0') or '0'}": _beta("generalized_fp64", alpha=a) for a in (0.0, 0.5, 1.0)}
+    out |= {"generalized_fp32": _beta("generalized_fp32", alpha=0.3), "generalized_vaw": _beta("generalized_fp64", alpha=0.5, adjusted=True), "generalized_bypass": _beta("generalized_fp64", alpha=0.5, bypass=True), "generalized_dense_pair": _dense_pair("generalized", 0.5)}
+    out |= {f"meta_{how}": _meta(how) for how in consolidate.CONSOLIDATIONS}
+    out |= {"subsample_with": _subsample(True), "subsample_without": _subsample(False), "subsample_faith": _subsample_faith, "multi_subsample_unweighted": _multi_beta}
+    out |= {"permanova_f": _permanova(["region"], "statistic", "sample_size", "n_groups"), "permanova_p": _permanova(["region"], "p_value"), "permanova_multi_column": _permanova(["region", "parity"], "statistic", "p_value")}
+    out |= {"gower_center": _gower, "pcoa_trace": _pcoa_trace, "pcoa_total": _pcoa_total, "pcoa_axes": _pcoa_axes, "pcoa_coords": _pcoa_coords}
     out |= {
-        "store_roundtrip_distance": _stored(lambda r: _pairs(r.distance_table()), month),
-        "store_roundtrip_permanova": _stored(lambda r: _rounded(r.permanova_table().select("grouping", "statistic", "p_value"), "statistic", "p_value"), month),
-        "store_roundtrip_pcoa": _stored(lambda r: _rounded(r.coords_table(), "value"), month),
-        "stripes_partial_merge": partial(_stripes, month=month),
+        "store_roundtrip_distance": _stored(lambda r: _pairs(r.distance_table())),
+        "store_roundtrip_permanova": _stored(lambda r: _rounded(r.permanova_table().select("grouping", "statistic", "p_value"), "statistic", "p_value")),
+        "store_roundtrip_pcoa": _stored(lambda r: _rounded(r.coords_table(), "value")),
+        "stripes_partial_merge": _stripes,
     }
     return out
 
 
-def queries():
-    out = {"faith_pd": _faith, "node_counts": _node_counts, "sample_totals": _totals, "abundance_validate": _validate, "weighted_normalized_wide": _wide}
-    return out | _of_month(MONTH) | {f"{name}_whole": query for name, query in _of_month(None).items()}
-
-
-def _sql_of_month(month: int | None) -> dict[str, str]:
-    out, unweighted = {}, _beta_sql("unweighted", month=month)
+def _beta_oracles() -> dict[str, str]:
+    out, unweighted = {}, _beta_sql("unweighted")
     for family in ("unweighted", "unweighted_unnormalized", "weighted_normalized", "weighted_unnormalized"):
-        out |= {family: _beta_sql(family, single=True, month=month), f"{family}_fp64": _beta_sql(family, month=month), f"{family}_vaw": _beta_sql(family, adjusted=True, month=month), f"{family}_bypass": _beta_sql(family, bypass=True, month=month), f"{family}_dense_pair": _dense_pair_sql(family, month=month)}
-    out |= {f"generalized_a{str(a).replace('.', '').rstrip('0') or '0'}": _beta_sql("generalized", alpha=a, month=month) for a in (0.0, 0.5, 1.0)}
-    out |= {"generalized_fp32": _beta_sql("generalized", alpha=0.3, single=True, month=month), "generalized_vaw": _beta_sql("generalized", alpha=0.5, adjusted=True, month=month), "generalized_bypass": _beta_sql("generalized", alpha=0.5, bypass=True, month=month), "generalized_dense_pair": _dense_pair_sql("generalized", 0.5, month=month)}
-    out |= {f"meta_{how}": _meta_sql(how, month) for how in consolidate.CONSOLIDATIONS}
-    out |= {f"subsample_{'with' if r else 'without'}": f"{_draw_sql(r, month=month)} SELECT rep, sample_id, feature_id, count FROM drawn" for r in (True, False)}
-    out["subsample_faith"] = f"{_draw_sql(True, month=month)} SELECT rep, sample_id, round(sum(length), 6) AS faith_pd FROM (SELECT DISTINCT rep, sample_id, node_id, length FROM drawn JOIN closure USING (feature_id)) GROUP BY 1, 2"
-    out["multi_subsample_unweighted"] = f"{_draw_sql(True, 2, month)}, abundance_r AS (SELECT * FROM drawn), left_in AS (SELECT sample_id, ord FROM samples WHERE sample_id IN (SELECT sample_id FROM whole)), {model.beta_sql('unweighted', suffix='_r', by='rep', samples='left_in')} SELECT rep, sample_i, sample_j, round(distance, 6) AS distance FROM dist"
-    out |= {"permanova_f": _permanova_sql(["region"], "statistic", "sample_size", "n_groups", month=month), "permanova_p": _permanova_sql(["region"], "p_value", month=month), "permanova_multi_column": _permanova_sql(["region", "parity"], "statistic", "p_value", month=month)}
+        out |= {family: _beta_sql(family, single=True), f"{family}_fp64": _beta_sql(family), f"{family}_vaw": _beta_sql(family, adjusted=True), f"{family}_bypass": _beta_sql(family, bypass=True), f"{family}_dense_pair": _dense_pair_sql(family)}
+    out |= {f"generalized_a{str(a).replace('.', '').rstrip('0') or '0'}": _beta_sql("generalized", alpha=a) for a in (0.0, 0.5, 1.0)}
+    out |= {"generalized_fp32": _beta_sql("generalized", alpha=0.3, single=True), "generalized_vaw": _beta_sql("generalized", alpha=0.5, adjusted=True), "generalized_bypass": _beta_sql("generalized", alpha=0.5, bypass=True), "generalized_dense_pair": _dense_pair_sql("generalized", 0.5)}
+    out |= {f"meta_{how}": _meta_sql(how) for how in consolidate.CONSOLIDATIONS}
+    out |= {f"subsample_{'with' if r else 'without'}": f"{_draw_sql(r)} SELECT rep, sample_id, feature_id, count FROM drawn" for r in (True, False)}
+    out["subsample_faith"] = f"{_draw_sql(True)} SELECT rep, sample_id, round(sum(length), 6) AS faith_pd FROM (SELECT DISTINCT rep, sample_id, node_id, length FROM drawn JOIN closure USING (feature_id)) GROUP BY 1, 2"
+    out["multi_subsample_unweighted"] = f"{_draw_sql(True, 2)}, abundance_r AS (SELECT * FROM drawn), left_in AS (SELECT sample_id, ord FROM samples WHERE sample_id IN (SELECT sample_id FROM whole)), {model.beta_sql('unweighted', suffix='_r', by='rep', samples='left_in')} SELECT rep, sample_i, sample_j, round(distance, 6) AS distance FROM dist"
+    out |= {"permanova_f": _permanova_sql(["region"], "statistic", "sample_size", "n_groups"), "permanova_p": _permanova_sql(["region"], "p_value"), "permanova_multi_column": _permanova_sql(["region", "parity"], "statistic", "p_value")}
     out |= {
-        "gower_center": _gower_sql("SELECT sample_i, sample_j, round(g, 6) + 0.0 AS g FROM g", month),
-        "pcoa_trace": _gower_sql("SELECT round(sum(g), 6) AS trace FROM g WHERE sample_i = sample_j", month),
-        "pcoa_total": _gower_sql("SELECT round(sum(g), 6) AS total, round(sum(g) / sum(g), 6) AS proportion FROM g WHERE sample_i = sample_j", month),
+        "gower_center": _gower_sql("SELECT sample_i, sample_j, round(g, 6) + 0.0 AS g FROM g"),
+        "pcoa_trace": _gower_sql("SELECT round(sum(g), 6) AS trace FROM g WHERE sample_i = sample_j"),
+        "pcoa_total": _gower_sql("SELECT round(sum(g), 6) AS total, round(sum(g) / sum(g), 6) AS proportion FROM g WHERE sample_i = sample_j"),
         "store_roundtrip_distance": unweighted,
-        "store_roundtrip_permanova": _permanova_sql(["region", "parity"], "statistic", "p_value", month=month),
+        "store_roundtrip_permanova": _permanova_sql(["region", "parity"], "statistic", "p_value"),
         "stripes_partial_merge": unweighted,
     }
     return out
@@ -283,4 +273,4 @@ def oracle_sql():
         "abundance_validate": f"WITH {segments} SELECT count(DISTINCT sample_id) AS n_samples, count(DISTINCT feature_id) AS n_features, count(*) AS n_counts, count(*) FILTER (count < 0) AS n_negative, (SELECT count(DISTINCT feature_id) FROM abundance WHERE feature_id NOT IN (SELECT p_partkey::VARCHAR FROM part)) AS n_missing FROM abundance",
         "weighted_normalized_wide": f"WITH {model.TREE_SQL}, {segments}, {model.beta_sql('weighted_normalized')} SELECT sample_i, sample_j, round(distance, 6) AS distance FROM dist",
     }
-    return out | _sql_of_month(MONTH) | {f"{name}_whole": sql for name, sql in _sql_of_month(None).items()}
+    return out | _beta_oracles()

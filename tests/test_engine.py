@@ -1,4 +1,6 @@
-"""Golden values for small hand-checked trees and tables, edge cases, and argument checks."""
+"""Small trees and tables against dense brute force, edge cases, and argument checks."""
+
+import math
 
 import numpy as np
 import pytest
@@ -8,87 +10,118 @@ from phylospark import api
 from phylospark.operators import diversity, ordination, stripes
 from phylospark.sources import newick, store, tables
 
-T1 = "(((((OTU1:0.5,OTU2:0.5):0.5,OTU3:1.0):1.0):0.0,(OTU4:0.75,OTU5:0.75):1.25):0.0)root;"
-T1X = "(((((OTU1:0.5,OTU2:0.5):0.5,OTU3:1.0):1.0):0.0,(OTU4:0.75,(OTU5:0.25,(OTU6:0.5,OTU7:0.5):0.5):0.5):1.25):0.0)root;"
-T2 = "((OTU1:0.1, OTU2:0.2):0.3, (OTU3:0.5, OTU4:0.7):1.1)root;"
-OTUS = [f"OTU{i}" for i in range(1, 6)]
-COUNTS = {"A": [1, 3, 0, 1, 0], "B": [0, 2, 0, 4, 4], "C": [0, 0, 6, 2, 1], "D": [0, 0, 1, 1, 1], "E": [5, 3, 5, 0, 0], "F": [0, 0, 0, 3, 5]}
-GOLDEN = {
-    "unweighted": "0.238095238095 0.52 0.52 0.545454545455 0.619047619048 0.347826086957 0.347826086957 0.68 0.421052631579 0.0 0.68 0.421052631579 0.68 0.421052631579 1.0",
-    "weighted_unnormalized": "2.4 1.86666666667 2.53333333333 1.35384615385 3.2 2.26666666667 0.933333333333 3.2 0.8375 1.33333333333 1.89743589744 2.66666666667 2.66666666667 1.33333333333 4.0",
-    "weighted_normalized": "0.6 0.466666666667 0.633333333333 0.338461538462 0.8 0.566666666667 0.233333333333 0.8 0.209375 0.333333333333 0.474358974359 0.666666666667 0.666666666667 0.333333333333 1.0",
-    "unweighted_unnormalized": "1.25 3.25 3.25 3 3.25 2 2 4.25 2 0 4.25 2 4.25 2 6.25",
-}
+TREE = "(((kelp:0.7,(moss:0.3,fern:1.1)green:0.4)shore:0.9,moor:0.35):0.15,((oak:1.3,elm:0.2)wood:0.6,reed:0.8):0.5)root;"
+#: The tree's branches: length, and the tips below.
+BRANCHES = [(0.15, "kelp moss fern moor"), (0.9, "kelp moss fern"), (0.7, "kelp"), (0.4, "moss fern"), (0.3, "moss"), (1.1, "fern"), (0.35, "moor"), (0.5, "oak elm reed"), (0.6, "oak elm"), (1.3, "oak"), (0.2, "elm"), (0.8, "reed")]
+TIPS = "kelp moss fern moor oak elm reed".split()
+COUNTS = {"bay": [4, 0, 2, 0, 0, 1, 0], "cliff": [0, 3, 3, 1, 0, 0, 0], "dune": [0, 0, 0, 5, 0, 0, 2], "fen": [1, 1, 1, 1, 1, 1, 1], "gorge": [0, 0, 0, 0, 7, 2, 0], "heath": [0, 0, 0, 0, 0, 0, 0], "isle": [9, 0, 0, 0, 0, 0, 0], "knoll": [0, 2, 0, 0, 0, 6, 3]}
+FAMILIES = ("unweighted", "unweighted_unnormalized", "weighted_normalized", "weighted_unnormalized", "generalized")
+
+
+def dense(family, a, b, alpha=1.0, adjusted=False, bypass=False):
+    """The distance of two count vectors, branch by branch."""
+    ta, tb, top, bottom = sum(a), sum(b), 0.0, 0.0
+    for length, below in BRANCHES:
+        at = [TIPS.index(t) for t in below.split()]
+        if bypass and len(at) == 1:
+            continue
+        ca, cb = sum(a[i] for i in at), sum(b[i] for i in at)
+        if not ca + cb:
+            continue
+        weight = length
+        if adjusted:
+            m, total = ca + cb, ta + tb
+            weight = length / math.sqrt(m * (total - m)) if m < total else 0.0
+        if family.startswith("unweighted"):
+            top += weight * ((ca > 0) != (cb > 0))
+            bottom += weight
+        else:
+            x, y = ca / ta if ta else 0.0, cb / tb if tb else 0.0
+            power = alpha if family == "generalized" else 1.0
+            top += weight * (x + y) ** (power - 1.0) * abs(x - y)
+            bottom += weight * (x + y) ** power
+    return top if family.endswith("unnormalized") else top / bottom if bottom else 0.0
+
+
+def matrix(family, **more):
+    rows = list(COUNTS.values())
+    return [dense(family, rows[i], rows[j], **more) for i in range(len(rows)) for j in range(i + 1, len(rows))]
 
 
 @pytest.fixture(scope="module")
 def study(spark):
-    table = tables.table_from_matrix(spark, COUNTS.values(), list(COUNTS), OTUS)
-    return table, newick.closure(newick.node_table(spark, T1))
+    table = tables.table_from_matrix(spark, COUNTS.values(), list(COUNTS), TIPS)
+    return table, newick.closure(newick.node_table(spark, TREE))
 
 
 def values(rows):
     return [r["distance"] for r in rows.orderBy("ord_i", "ord_j").collect()]
 
 
-@pytest.mark.parametrize("family", GOLDEN)
-def test_golden(study, family):
-    table, closure = study
-    expected = list(map(float, GOLDEN[family].split()))
-    np.testing.assert_allclose(values(diversity.beta(table.abundance, closure, table.samples, f"{family}_fp64")), expected, atol=1e-9)
-
-
-@pytest.mark.parametrize(
-    "options, expected",
-    [
-        ({"method": "generalized_fp64", "alpha": 0.5}, ".617769602 .525472705 .675072476 .481341923 .809955461 .598521686 .320989735 .817047318 .317897253 .335375037 .611037566 .686639668 .717636885 .42043749 1"),
-        ({"method": "generalized_fp64", "alpha": 0.0}, ".647619048 .590861244 .723574661 .646626448 .821256039 .641976727 .434782609 .833135669 .490045597 .338596491 .754926829 .703251657 .771428571 .531027056 1"),
-        ({"method": "weighted_normalized_fp64", "variance_adjusted": True}, ".610864826 .477692393 .654812113 .316461537 .803815009 .581412811 .281183645 .806808747 .218978292 .335791782 .487740376 .664433327 .703053362 .352712331 1"),
-        ({"method": "unweighted_fp64", "variance_adjusted": True}, ".309260196 .574690042 .580722912 .592274546 .644460906 .407252169 .436475044 .702838233 .47563576 0 .733738243 .417832538 .723789575 .484118091 1"),
-        ({"method": "unweighted_fp64", "bypass_tips": True}, "0 .181818182 .181818182 .454545455 .545454545 .181818182 .181818182 .454545455 .545454545 0 .636363636 .444444444 .636363636 .444444444 1"),
-        ({"method": "weighted_normalized_fp64", "bypass_tips": True}, ".6 .276315789 .554140127 .19665272 .814814815 .482517483 .162162162 .769911504 .215686275 .333333333 .442359249 .642857143 .730569948 .310344828 1"),
-    ],
-)
-def test_variants(study, options, expected):
+@pytest.mark.parametrize("more", [{}, {"variance_adjusted": True}, {"bypass_tips": True}, {"n_substeps": 9, "variance_adjusted": True}])
+@pytest.mark.parametrize("family, alpha", [*((f, 1.0) for f in FAMILIES[:4]), ("generalized", 0.0), ("generalized", 0.5)])
+def test_distances(study, family, alpha, more):
     table, closure = study
-    np.testing.assert_allclose(values(diversity.beta(table.abundance, closure, table.samples, **options)), list(map(float, expected.split())), atol=1e-8)
+    expected = matrix(family, alpha=alpha, adjusted="variance_adjusted" in more, bypass="bypass_tips" in more)
+    np.testing.assert_allclose(values(diversity.beta(table.abundance, closure, table.samples, f"{family}_fp64", alpha, **more)), expected, atol=1e-9)
+
+
+def test_many_tiles_and_batches(spark, study, monkeypatch):
+    """More samples than a tile holds, and batches that end inside branches."""
+    pick = np.random.default_rng(3)
+    counts = pick.integers(0, 9, (30, 7)) * pick.integers(0, 2, (30, 7))
+    table = tables.table_from_matrix(spark, counts.tolist(), [f"s{i:02}" for i in range(30)], TIPS)
+    monkeypatch.setattr(diversity, "TILE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for family, adjusted in (("weighted_normalized", False), ("unweighted", True)):
+            found = values(diversity.beta(table.abundance, study[1], table.samples, f"{family}_fp64", variance_adjusted=adjusted))
+            expected = [dense(family, counts[i].tolist(), counts[j].tolist(), adjusted=adjusted) for i in range(30) for j in range(i + 1, 30)]
+            np.testing.assert_allclose(found, expected, atol=1e-9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_unobserved_tips_change_nothing(spark, study):
     table, closure = study
-    other = newick.closure(newick.node_table(spark, T1X))
-    assert values(diversity.beta(table.abundance, other, table.samples, "unweighted_fp64")) == pytest.approx(values(diversity.beta(table.abundance, closure, table.samples, "unweighted_fp64")), abs=1e-12)
+    other = newick.closure(newick.node_table(spark, TREE.replace("reed:0.8", "(reed:0.55,(rush:2,sedge:1):3):0.25")))
+    assert values(diversity.beta(table.abundance, other, table.samples, "unweighted_fp64")) == pytest.approx(matrix("unweighted"), abs=1e-12)
 
 
 def test_faith(spark, study):
     table, closure = study
     found = {r["sample_id"]: r["faith_pd"] for r in diversity.faith(table.abundance, closure, table.samples).collect()}
-    assert found == pytest.approx({"A": 4.5, "B": 4.75, "C": 4.75, "D": 4.75, "E": 3.5, "F": 2.75})
-    empty = tables.table_from_matrix(spark, [[0, 0, 0, 0, 0], [1, 1, 0, 0, 0]], ["x", "y"], OTUS)
-    nolength = newick.closure(newick.node_table(spark, "((OTU1:0.5,OTU2:0.5),(OTU3:1.0,(OTU4:0.5,OTU5:0.75):1.0):1.0)root;"))
-    assert {r["sample_id"]: r["faith_pd"] for r in api.raw_faith_pd(empty, nolength).collect()} == {"x": 0.0, "y": 1.0}
+    assert found == pytest.approx({s: dense("unweighted_unnormalized", row, [0] * 7) for s, row in COUNTS.items()})
+    empty = tables.table_from_matrix(spark, [[0, 0, 0], [1, 1, 0]], ["x", "y"], ["p", "q", "r"])
+    nolength = newick.closure(newick.node_table(spark, "((p:0.25,q:0.5),(r:1.0,s));"))
+    assert {r["sample_id"]: r["faith_pd"] for r in api.raw_faith_pd(empty, nolength).collect()} == {"x": 0.0, "y": 0.75}
 
 
 def test_dense_pairs(spark):
-    tree, ids = newick.node_table(spark, T2), OTUS[:4]
-    assert ps.unweighted_dense_pair(ids, [1, 1, 0, 0], [1, 0, 0, 0], tree) == pytest.approx(1 / 3)
-    assert ps.weighted_unnormalized_dense_pair(ids, [0, 0, 1, 1], [0, 0, 1, 0], tree) == pytest.approx(0.6)
-    assert ps.weighted_normalized_dense_pair(ids, [0, 0, 1, 1], [0, 0, 1, 0], tree) == pytest.approx(0.1818181818)
-    tips = newick.node_table(spark, "(OTU1:0.25, OTU2:0.25)root;")
-    assert ps.unweighted_dense_pair(OTUS[:2], [1, 0], [0, 0], tips) == 1.0
-    assert ps.unweighted_dense_pair(OTUS[:2], [0, 0], [0, 0], tips) == 0.0
+    tree, a, b = newick.node_table(spark, TREE), COUNTS["bay"], COUNTS["knoll"]
+    for family in FAMILIES[:4]:
+        assert getattr(ps, f"{family}_dense_pair")(TIPS, a, b, tree) == pytest.approx(dense(family, a, b))
+    assert ps.generalized_dense_pair(TIPS, a, b, tree, alpha=0.3) == pytest.approx(dense("generalized", a, b, alpha=0.3))
+    assert ps.unweighted_dense_pair(TIPS, a, [0] * 7, tree) == 1.0
+    assert ps.unweighted_dense_pair(TIPS, [0] * 7, [0] * 7, tree) == 0.0
     with pytest.raises(ValueError):
-        ps.unweighted_dense_pair(OTUS[:2], [1], [0, 0], tips)
+        ps.unweighted_dense_pair(TIPS[:2], [1], [0, 0], tree)
     with pytest.raises(ValueError, match="Empty ID"):
-        ps.unweighted_dense_pair(["", "OTU2"], [1, 0], [0, 0], tips)
+        ps.unweighted_dense_pair(["", "moss"], [1, 0], [0, 0], tree)
 
 
-def test_meta(spark):
-    trees = [newick.node_table(spark, t) for t in ("((a:1,b:2):4,(c:3,(d:1,e:1):2):3);", "(((a:1,b:1):1,c:5):2,d:4);")]
-    sets = [{"A": "ab", "B": "bce", "C": "ad"}, {"A": "ac", "B": "bd", "C": "cd"}]
-    studies = [tables.table_from_matrix(spark, [[float(f in s) for f in ids] for s in x.values()], list(x), list(ids)) for x, ids in zip(sets, ("abcde", "abcd"), strict=True)]
-    found = {(r["sample_i"], r["sample_j"]): r["distance"] for r in ps.meta(studies, trees, method="unweighted", weights=(1, 1), consolidation="skipping-missing-values").collect()}
-    assert found == pytest.approx({("A", "B"): (10 / 16 + 11 / 14) / 2, ("A", "C"): (8 / 13 + 6 / 13) / 2, ("B", "C"): (8 / 17 + 7 / 13) / 2}, abs=1e-6)
+def test_meta(spark, study):
+    """Two tables over different samples and trees, weighed 1 to 3."""
+    table, closure = study
+    few = {"bay": [1, 0], "cliff": [1, 1], "extra": [0, 2]}
+    second = tables.table_from_matrix(spark, few.values(), list(few), ["u", "v"])
+    tree = newick.closure(newick.node_table(spark, "(u:1,v:3);"))
+    found = {(r["sample_i"], r["sample_j"]): r["distance"] for r in ps.meta([table, second], [closure, tree], method="unweighted_fp64", weights=(1, 3), consolidation="skipping-missing-values").collect()}
+    names = sorted({*COUNTS, *few})
+    assert set(found) == {(a, b) for a in names for b in names if a < b}
+    first = dict(zip([(a, b) for i, a in enumerate(COUNTS) for b in list(COUNTS)[i + 1 :]], matrix("unweighted"), strict=True))
+    assert found["bay", "cliff"] == pytest.approx((first["bay", "cliff"] + 3 * 0.75) / 4)
+    assert found["cliff", "extra"] == pytest.approx(0.25) and found["dune", "fen"] == pytest.approx(first["dune", "fen"]) and found["dune", "extra"] is None
 
 
 @pytest.mark.parametrize(
@@ -129,7 +162,7 @@ def test_newick():
 
 def test_validation(spark, tmp_path):
     tree, path = tmp_path / "t.nwk", str(tmp_path / "t.tsv")
-    tree.write_text(T1)
+    tree.write_text(TREE)
     with pytest.raises(OSError, match="Table file not found"):
         ps.unweighted("/no/such", str(tree))
     with pytest.raises(ValueError, match="incompatible"):
@@ -139,51 +172,84 @@ def test_validation(spark, tmp_path):
         with open(path, "w") as f:
             f.write(text)
 
-    write("#id\tA\tB\nOTU1\t1\t0\nOTU2\t0\t2\n")
+    write("#id\tA\tB\nkelp\t1\t0\nmoss\t0\t2\n")
     with pytest.raises(OSError, match="Tree file not found"):
         ps.unweighted(path, "/no/such")
     with pytest.raises(ValueError, match="Unknown method"):
         ps.one_off(path, str(tree), "nothing")
     assert ps.unweighted(path, str(tree)).count() == 1
-    write("#id\tA\nOTU1\t1\n")
+    write("#id\tA\nkelp\t1\n")
     with pytest.raises(ValueError, match="two samples"):
         ps.faith_pd(path, str(tree))
-    write("#id\tA\tB\nOTU1\t-1\t3\n")
+    write("#id\tA\tB\nkelp\t-1\t3\n")
     with pytest.raises(ValueError, match="negatives"):
         ps.unweighted(path, str(tree))
-    write("#id\tA\tB\nOTU9\t0\t0\n")
+    write("#id\tA\tB\nnowhere\t0\t0\n")
     with pytest.raises(ValueError, match="completely represented"):
         ps.unweighted(path, str(tree))
     tree.write_text("(a,b")
-    write("#id\tA\tB\nOTU1\t1\t3\n")
+    write("#id\tA\tB\nkelp\t1\t3\n")
     with pytest.raises(ValueError, match="newick"):
         ps.unweighted(path, str(tree))
     with pytest.raises(ValueError, match="any samples"):
-        ps.unweighted(spark.createDataFrame([], "sample_id string, feature_id string, count double"), newick.node_table(spark, T1))
+        ps.unweighted(spark.createDataFrame([], "sample_id string, feature_id string, count double"), newick.node_table(spark, TREE))
 
 
 def test_generalized_of_one_is_weighted(spark, study):
     with pytest.warns(UserWarning, match="alpha of 1.0"):
         rows = ps.generalized_fp64(study[0], study[1], alpha=1.0)
-    assert values(rows) == pytest.approx(list(map(float, GOLDEN["weighted_normalized"].split())), abs=1e-9)
+    assert values(rows) == pytest.approx(matrix("weighted_normalized"), abs=1e-9)
 
 
 def test_ordination(study):
     table, closure = study
     distance = diversity.beta(table.abundance, closure, table.samples, "unweighted_fp64")
-    axes, coords = ordination.pcoa(distance, 6)
-    assert [r["eigval"] for r in axes.orderBy("axis").collect()] == pytest.approx([0.54581638, 0.17605425, 0.02068953, 0, 0, -0.00268485], abs=1e-7)
-    approximate, _ = ordination.pcoa(distance, 2, exact=1)
-    assert [r["eigval"] for r in approximate.orderBy("axis").collect()] == pytest.approx([0.54581638, 0.17605425], abs=1e-7)
-    assert coords.count() == 36
+    n = len(COUNTS)
+    square, centre = np.zeros((n, n)), np.eye(n) - 1 / n
+    square[np.triu_indices(n, 1)] = np.square(matrix("unweighted"))
+    gram = -0.5 * centre @ (square + square.T) @ centre
+    expected = np.sort(np.linalg.eigvalsh(gram))[::-1]
+    axes, coords = ordination.pcoa(distance, n)
+    np.testing.assert_allclose([r["eigval"] for r in axes.orderBy("axis").collect()], expected, atol=1e-9)
+    assert coords.count() == n * n
+    approximate, _ = ordination.pcoa(distance, 2, exact=False)
+    np.testing.assert_allclose([r["eigval"] for r in approximate.orderBy("axis").collect()], expected[:2], atol=1e-7)
+
+
+def pseudo_f(groups):
+    n, names = len(COUNTS), sorted(set(groups))
+    at = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    squares = dict(zip(at, np.square(matrix("unweighted")), strict=True))
+    within = sum(q / groups.count(groups[i]) for (i, j), q in squares.items() if groups[i] == groups[j])
+    return (sum(squares.values()) / n - within) / (len(names) - 1) / (within / (n - len(names)))
+
+
+def test_permanova(spark, study, monkeypatch):
+    table, closure = study
+    distance = diversity.beta(table.abundance, closure, table.samples, "unweighted_fp64")
+    groups = ["g" + "01101100"[i] for i in range(len(COUNTS))]
+    rows = spark.createDataFrame(list(zip(COUNTS, groups, ["x"] * 8, COUNTS, strict=True)), "sample_id string, g string, one string, each string")
+    found = ordination.permanova(distance, rows, ["g"], 199).first()
+    assert found["statistic"] == pytest.approx(pseudo_f(groups)) and found["sample_size"] == 8 and found["n_groups"] == 2
+    assert 0.0 < found["p_value"] <= 1.0
+    monkeypatch.setattr(ordination, "BROADCAST", 4 * 8 * 60)  # four rounds of 60 permutations or less
+    again = ordination.permanova(distance, rows, ["g"], 199).first()
+    assert again["p_value"] == found["p_value"] and again["statistic"] == pytest.approx(found["statistic"])
 
 
-def test_permanova(spark, study):
+def test_permanova_without_spread(spark, study):
     table, closure = study
     distance = diversity.beta(table.abundance, closure, table.samples, "unweighted_fp64")
-    groups = spark.createDataFrame([(s, "g0" if s in "ABE" else "g1") for s in COUNTS], "sample_id string, g string")
-    found = ordination.permanova(distance, groups, ["g"], 199).first()
-    assert found["statistic"] == pytest.approx(3.5808150053) and 0.03 < found["p_value"] < 0.2
+    rows = spark.createDataFrame([(s, "x", s) for s in COUNTS], "sample_id string, one string, each string")
+    for column in ("one", "each"):
+        with pytest.raises(ValueError, match="two groups are needed"):
+            ordination.permanova(distance, rows, [column], 9)
+    names = list("abcd")
+    groups = spark.createDataFrame([(s, "p" if s in "ab" else "q") for s in names], "sample_id string, g string")
+    for apart, expected in ((1.0, float("inf")), (0.0, None)):
+        made = [(0, a, b, 0.0 if (a in "ab") == (b in "ab") else apart) for i, a in enumerate(names) for b in names[i + 1 :]]
+        found = ordination.permanova(spark.createDataFrame(made, "rep int, sample_i string, sample_j string, distance double"), groups, ["g"], 9).first()
+        assert found["statistic"] == expected and (found["p_value"] is None) == (expected is None)
 
 
 def test_store(spark, study, tmp_path):
@@ -194,15 +260,15 @@ def test_store(spark, study, tmp_path):
     with pytest.raises(ValueError, match="subsample_depth"):
         ps.unweighted_to_file(*study, path, n_subsamples=2)
     assert ps.weighted_normalized_fp64_to_file(*study, path, pcoa_dims=2, permanova_perms=9, grouping_filename=str(groups), grouping_columns="g,h") == path
-    assert values(ps.read_distance(path)) == pytest.approx(list(map(float, GOLDEN["weighted_normalized"].split())), abs=1e-9)
+    assert values(ps.read_distance(path)) == pytest.approx(matrix("weighted_normalized"), abs=1e-9)
     every = ps.read_distance_all(path)
-    assert len(every) == 1 and every[0].shape == (6, 6) and [m.shape for m in every] == [(6, 6)]
+    assert len(every) == 1 and every[0].shape == (8, 8) and [m.shape for m in every] == [(8, 8)]
     every.close()
     assert len(every) == 0
     assert list(ps.read_pcoa(path)["eigvals"].index) == ["PC1", "PC2"]
-    assert set(ps.read_permanova_dict(path)) == {"g", "h"} and ps.read_permanova(path)["sample size"] == 6
+    assert set(ps.read_permanova_dict(path)) == {"g", "h"} and ps.read_permanova(path)["sample size"] == 8
     several = str(tmp_path / "several")
-    ps.unweighted_to_file(*study, several, pcoa_dims=2, n_subsamples=2, subsample_depth=3)
+    ps.unweighted_to_file(*study, several, pcoa_dims=2, n_subsamples=2, subsample_depth=5)
     assert len(ps.read_pcoa_all(several)) == 2
     with pytest.raises(KeyError):
         ps.read_distance(several)
@@ -215,37 +281,44 @@ def test_subsamples(study):
     for replacement in (True, False):
         drawn = diversity.subsample(table.abundance, 5, 3, replacement=replacement)
         sums = {(r["rep"], r["sample_id"]): r["n"] for r in drawn.groupBy("rep", "sample_id").agg({"count": "sum"}).withColumnRenamed("sum(count)", "n").collect()}
-        assert set(sums.values()) == {5.0} and {s for _, s in sums} == set("ABCEF")
+        assert set(sums.values()) == {5.0} and {s for _, s in sums} == {s for s, row in COUNTS.items() if sum(row) >= 5}
         if not replacement:
             whole = {(r["sample_id"], r["feature_id"]): r["count"] for r in table.abundance.collect()}
             assert all(r["count"] <= whole[r["sample_id"], r["feature_id"]] for r in drawn.collect())
 
 
-def test_stripes(study):
+def test_stripes(study, monkeypatch):
     table, closure = study
     for n in (2, 5, 6, 7):
         stripe = [min(j - i, n - (j - i)) - 1 for i in range(n) for j in range(i + 1, n)]
         assert set(stripe) == set(range(stripes.count(n)))
-    parts = [stripes.partial(table.abundance, closure, table.samples, a, b, "unweighted_fp64") for a, b in stripes.report(6, 2)]
-    assert values(stripes.merge(parts, 6)) == pytest.approx(list(map(float, GOLDEN["unweighted"].split())), abs=1e-9)
+    parts = [stripes.partial(table.abundance, closure, table.samples, a, b, "unweighted_fp64") for a, b in stripes.report(8, 3)]
+    assert values(stripes.merge(parts, 8)) == pytest.approx(matrix("unweighted"), abs=1e-9)
+    with pytest.raises(ValueError):
+        stripes.merge(parts[:1], 8)
     with pytest.raises(ValueError):
-        stripes.merge(parts[:1], 6)
+        stripes.merge([*parts, parts[0]], 8)
+    monkeypatch.setattr(diversity, "TILE", 2)
+    for a, b in stripes.report(8, 3):
+        few = stripes.partial(table.abundance, closure, table.samples, a, b, "unweighted_fp64").collect()
+        assert len(few) == 8 * (b - a) - (4 if b == 4 else 0)
+        assert all(r["distance"] == pytest.approx(dense("unweighted", COUNTS[r["sample_i"]], COUNTS[r["sample_j"]])) for r in few)
 
 
 def test_command_line(tmp_path, study):
     from phylospark.__main__ import main
 
     tree, table = tmp_path / "t.nwk", tmp_path / "t.tsv"
-    tree.write_text(T1)
-    table.write_text("#id\t" + "\t".join(COUNTS) + "\n" + "".join("\t".join([o, *(str(COUNTS[s][i]) for s in COUNTS)]) + "\n" for i, o in enumerate(OTUS)))
+    tree.write_text(TREE)
+    table.write_text("#id\t" + "\t".join(COUNTS) + "\n" + "".join("\t".join([o, *(str(COUNTS[s][i]) for s in COUNTS)]) + "\n" for i, o in enumerate(TIPS)))
     assert main(["faith", "-i", str(table), "-t", str(tree), "-o", str(tmp_path / "f.tsv")]) == 0
-    assert (tmp_path / "f.tsv").read_text().splitlines()[0] == "A\t4.5"
+    assert (tmp_path / "f.tsv").read_text().splitlines()[0].split("\t")[0] == "bay"
     assert main(["beta", "-i", str(table), "-t", str(tree), "-o", str(tmp_path / "d.tsv"), "-m", "unweighted_fp64"]) == 0
     lines = [x.split("\t") for x in (tmp_path / "d.tsv").read_text().splitlines()]
-    assert lines[0][1:] == list(COUNTS) and float(lines[1][2]) == pytest.approx(0.238095238095)
+    assert lines[0][1:] == list(COUNTS) and float(lines[1][2]) == pytest.approx(matrix("unweighted")[0])
 
 
 def test_dense_matrix(study):
     table, closure = study
-    matrix = store.dense(diversity.beta(table.abundance, closure, table.samples, "unweighted"), 6)
-    assert matrix.dtype == np.float32 and (matrix == matrix.T).all() and (np.diag(matrix) == 0).all()
+    square = store.dense(diversity.beta(table.abundance, closure, table.samples, "unweighted"), 8)
+    assert square.dtype == np.float32 and (square == square.T).all() and (np.diag(square) == 0).all()
