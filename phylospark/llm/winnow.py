@@ -15,12 +15,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.llm import common as c
 
 K, WINDOW = 12, 24
+#: Windows that are selected from at a time.
+STRETCH = 1 << 23
 
 
 class Fingerprint:
@@ -29,14 +31,16 @@ class Fingerprint:
     def __init__(self, points: np.ndarray, k: int = K, window: int = WINDOW) -> None:
         n = len(points)
         hashes = c.window_hashes(points, min(k, n)) if n else np.empty(0, dtype=np.uint64)
-        # hash and reversed position in one integer: the smallest is the smallest hash at its rightmost place
-        bits = max(24, n.bit_length())
-        mask = np.uint64((1 << bits) - 1)
-        keys = (hashes & ~mask) | (mask - np.arange(len(hashes), dtype=np.uint64))
-        low = c.sliding(keys, min(window, len(keys)), np.minimum) if n else keys
-        if n:
+        # 40 bits of the hash and the reversed place inside a stretch of 2^24 in one integer: the smallest is the smallest
+        # hash at its rightmost place; stretches overlap by a window, so long texts are selected from as short ones are
+        width, mask, found = min(window, len(hashes)), np.uint64((1 << 24) - 1), []
+        for start in range(0, len(hashes) - width + 1 if n else 0, STRETCH):
+            own = hashes[start : start + STRETCH + width - 1]
+            low = c.sliding((own & ~mask) | (mask - np.arange(len(own), dtype=np.uint64)), width, np.minimum)
             low = low[np.concatenate([[True], low[1:] != low[:-1]])]
-        self.at = (mask - (low & mask)).astype(np.uint32)
+            found.append((mask - (low & mask)).astype(np.int64) + start)
+        at = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+        self.at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
         self.hashes = hashes[self.at] >> np.uint64(24)
         self.distinct = np.unique(self.hashes)
 
@@ -75,26 +79,45 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
 
 
+_KEYS = ("k0", "k1", "k2")
+
+
+def _starts(keys: DataFrame, parts: int) -> list[tuple]:
+    """The least key of each stretch, in order: as many as there are parts, at most. Keys are ranged without texts."""
+    ranged = keys.repartitionByRange(parts, *_KEYS).groupBy(F.spark_partition_id().alias("part"))
+    return sorted(tuple(r["least"]) for r in ranged.agg(F.min(F.struct(*_KEYS)).alias("least")).collect())
+
+
+def _stretch(starts: list[tuple]) -> Column:
+    """The number of the stretch that a row's key is in, by binary search."""
+    bounds = [F.array(*(F.lit(s[i]).cast("long") for s in starts)) for i in range(len(_KEYS))]
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.shiftright(a["low"] + a["high"], 1)
+        inside = (a["low"] < a["high"]) & (F.struct(*_KEYS) >= F.struct(*(F.get(b, middle).alias(k) for b, k in zip(bounds, _KEYS, strict=True))))
+        return F.struct(F.when(inside, middle + 1).otherwise(a["low"]).alias("low"), F.when(inside | (a["low"] >= a["high"]), a["high"]).otherwise(middle).alias("high"))
+
+    rounds = F.array(*map(F.lit, range(len(starts).bit_length() + 1)))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.lit(len(starts)).alias("high")), step, lambda a: a["low"] - 1)
+
+
 def _with_next(rows: DataFrame) -> DataFrame:
-    """Rows dealt into stretches of the order, each followed by the first row of the next stretch, marked `extra`. The
-    stretches' ends are ids in the data, as many as there are shuffle partitions, so no single task sorts the whole."""
-    spark = rows.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)] + [1.0]
-    found = rows.agg(F.percentile_approx("doc_id", shares, 1000 * parts).alias("ends"), F.max("doc_id").alias("top"), F.max(F.when(F.col("doc_id").isNull(), F.col("tie"))).alias("tie")).first()
-    ends = sorted({*(found["ends"] or []), *([found["top"]] if found["top"] is not None else [])})
-    last = -1 if found["tie"] is not None or not ends else 0
-    own = F.when(F.col("doc_id").isNull(), -1)
-    if ends:
-        own = own.otherwise(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("doc_id"))))
-    own = own.cast("int")
+    """Rows dealt into stretches of the order, each followed by the first row of the next stretch, marked `extra`. There
+    are as many stretches as shuffle partitions, of about equal numbers of rows, whatever the ids; only rows that are
+    equal in id and text stay together."""
+    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # ascending as the order is: ids descending and nulls last, then hashes descending
+    keys = F.col("doc_id").isNull().cast("long").alias("k0"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("k1"), F.bitwise_not("tie").alias("k2")
+    starts = _starts(c.stored(rows.select(*keys), "keys"), parts)
+    if not starts:
+        return rows.select(F.lit(0).alias("part"), F.lit(False).alias("extra"), "doc_id", "text")
+    placed = rows.select("doc_id", "text", "tie", *keys).withColumn("part", _stretch(starts))
     # the row at the head of a stretch also goes to the stretch before it, the very first to the last stretch
-    heads = [(F.col("doc_id") == end, last if i == len(ends) - 1 else i + 1) for i, end in enumerate(ends)]
-    if found["tie"] is not None:
-        heads.append((F.col("doc_id").isNull() & (F.col("tie") == found["tie"]), 0 if ends else -1))
-    extra = F.coalesce(*(F.when(is_head, to) for is_head, to in heads)) if heads else F.lit(None)
-    both = F.array(F.struct(own.alias("part"), F.lit(False).alias("extra")), F.struct(extra.cast("int").alias("part"), F.lit(True).alias("extra")))
-    dealt = rows.select("doc_id", "text", "tie", F.explode(F.filter(both, lambda x: x["part"].isNotNull())).alias("to"))
+    heads = [F.array(*(F.lit(s[i]).cast("long") for s in starts)) for i in range(len(_KEYS))]
+    is_head = F.struct(*_KEYS) == F.struct(*(F.get(h, F.col("part")).alias(k) for h, k in zip(heads, _KEYS, strict=True)))
+    before = F.when(is_head, F.pmod(F.col("part") - 1, F.lit(len(starts))))
+    both = F.array(F.struct(F.col("part"), F.lit(False).alias("extra")), F.struct(before.alias("part"), F.lit(True).alias("extra")))
+    dealt = placed.select("doc_id", "text", "tie", F.explode(F.filter(both, lambda x: x["part"].isNotNull())).alias("to"))
     dealt = dealt.select("doc_id", "text", "tie", F.col("to.part").alias("part"), F.col("to.extra").alias("extra"))
     return dealt.repartition(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()).select("part", "extra", "doc_id", "text")
 
