@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from phylospark.llm import common as c
 
-ALPHA, DELTA = 0.05, 0.05
-#: From lenient to strict; a score of 1 is what each unit below calls tolerable.
-CUTOFFS = (16.0, 11.0, 8.0, 5.6, 4.0, 2.8, 2.0, 1.4, 1.0)
+ALPHA, DELTA = 0.01, 0.05
+#: From lenient to strict; a score of 1 is what each unit below calls tolerable. The last ones lie below the score of any
+#: text (words of two characters), so it is the bound that ends the sequence, not the list.
+CUTOFFS = (16.0, 11.0, 8.0, 5.6, 4.0, 2.8, 2.0, 1.4, 1.0, 0.84, 0.71, 0.6, 0.5, 0.42, 0.36, 0.3, 0.25, 0.21, 0.18, 0.15, 0.125, 0.1)
 #: Defects that score 1: symbols per word, share of words in repeated windows, repeated lines per word, characters per word.
 UNITS = {"symbols": 0.3, "repeats": 0.3, "lines": 0.1, "length": 20.0}
 _SYMBOLS = "[#*$%&|<>]"
@@ -98,18 +99,30 @@ def scored(docs: DataFrame, stratum: str = "lang", keep: tuple[str, ...] = ()) -
     return base.select("doc_id", "stratum", n.alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"), score.alias("score"), *(f"kept_{k}" for k in keep))
 
 
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 8, taken back to x."""
+    y = x + 8.0
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    product = x
+    for i in range(1, 8):
+        product = product * (x + i)
+    return series - F.ln(product)
+
+
 def binomial_tail(n: Column, k: Column, rate: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, rate); 1 where k >= n * rate, as it is about a half or more there. Terms are
-    carried as logarithms, so none is lost to underflow before it matters."""
-    odds = math.log(rate) - math.log1p(-rate)
-    start = F.struct((n * math.log1p(-rate)).cast("double").alias("term"), F.exp(n * math.log1p(-rate)).alias("sum"))
+    """P(X <= k) for X ~ Binomial(n, rate); 1 where k >= n * rate, as it is about a half or more there. Summed from X = k
+    down: each term is a fraction of the one before, so 20 standard deviations of terms leave out nothing that a double
+    could hold, and the work grows with the root of n."""
+    n, k = n.cast("double"), k.cast("double")
+    first = _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)
+    terms = F.least(k, 20 * F.sqrt(n * (rate * (1 - rate))) + 50).cast("long")
 
     def step(a: Column, i: Column) -> Column:
-        term = a["term"] + F.ln((n - i + 1) / i) + odds
-        return F.struct(term.alias("term"), (a["sum"] + F.exp(term)).alias("sum"))
+        term = a["term"] * (k - i + 1) * (1 - rate) / ((n - k + i) * rate)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-    total = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, step, lambda a: a["sum"])
-    return F.when(k >= n * rate, 1.0).otherwise(total)
+    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<long>")), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step, lambda a: a["sum"])
+    return F.when(k >= n * rate, 1.0).otherwise(F.exp(first) * total)
 
 
 def calibrate(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -167,11 +180,11 @@ WITH words AS (
 ), good AS (
   SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
 ), cuts AS (
-  SELECT unnest([16.0, 11.0, 8.0, 5.6, 4.0, 2.8, 2.0, 1.4, 1.0]::DOUBLE[]) AS cutoff, unnest(range(9)) AS place
+  SELECT unnest([16.0, 11.0, 8.0, 5.6, 4.0, 2.8, 2.0, 1.4, 1.0, 0.84, 0.71, 0.6, 0.5, 0.42, 0.36, 0.3, 0.25, 0.21, 0.18, 0.15, 0.125, 0.1]::DOUBLE[]) AS cutoff, unnest(range(22)) AS place
 ), tested AS (
   SELECT stratum, cutoff, place, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM marked JOIN good USING (doc_id), cuts WHERE NOT base_failed GROUP BY ALL
 ), proven AS (
-  SELECT stratum, cutoff, place, CASE WHEN k >= n * 0.05 THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(0.95)) for j in range(k + 1)]) END
+  SELECT stratum, cutoff, place, CASE WHEN k >= n * 0.01 THEN 1.0 ELSE list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)) for j in range(k + 1)]) END
     <= 0.05 / (SELECT greatest(1, count(*)) FROM (SELECT DISTINCT stratum FROM marked)) AS ok FROM tested
 ), chosen AS (
   SELECT stratum, min(cutoff) AS cutoff FROM proven p WHERE NOT EXISTS (SELECT 1 FROM proven q WHERE q.stratum IS NOT DISTINCT FROM p.stratum AND q.place <= p.place AND NOT q.ok) GROUP BY stratum
