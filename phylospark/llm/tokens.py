@@ -63,6 +63,21 @@ def prove(path: str) -> frozenset[str]:
     return frozenset(token for token in ends if own.symbols(token) == [token + own.end])
 
 
+def plain_rules(spec: dict) -> tuple[bool, str] | None:
+    """Whether printable ASCII is lowered, and the pattern of its pre-tokens, as a tokenizer file has them; None if the
+    file does more to such text than that."""
+    steps = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = steps["normalizers"] if steps["type"] == "Sequence" else [steps]
+    splits = spec.get("pre_tokenizer") or {"type": None}
+    splits = splits["pretokenizers"] if splits["type"] == "Sequence" else [splits]
+    harmless = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} for x in steps)
+    if not harmless or [x["type"] for x in splits] != ["Split", "ByteLevel"] or "Regex" not in splits[0]["pattern"]:
+        return None
+    if splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or splits[1]["add_prefix_space"] or splits[1]["use_regex"]:
+        return None
+    return any(x["type"] == "Lowercase" for x in steps), splits[0]["pattern"]["Regex"]
+
+
 class Counter:
     """Tokens of a text, by chunks."""
 
@@ -72,12 +87,13 @@ class Counter:
 
         self.merger, self.proven = Merger(path), proven
         library = Tokenizer.from_file(path)
-        self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.normalise = library.normalizer.normalize_str if library.normalizer else str
+        self.split = library.pre_tokenizer.pre_tokenize_str
         special = [t["content"] for t in self.merger.spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         #: Printable ASCII needs neither the normaliser's Unicode forms nor the byte alphabet.
-        self.plain = regex.compile(r"[!-~]*+").fullmatch
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+        self.plain, rules = regex.compile(r"[!-~]*+").fullmatch, plain_rules(self.merger.spec)
+        self.lower, self.pieces = rules[0] if rules else False, regex.compile(rules[1]).findall if rules else None
         self.token = Remembered(lambda t: 1 if t in proven else len(self.merger.symbols(t)), longest=48)
         self.chunk = Remembered(self.count_chunk, longest=64)
 
@@ -89,7 +105,10 @@ class Counter:
         else:
             parts = [text]
         for part in parts:
-            pieces = self.pieces(part.lower()) if self.plain(part) else (p for p, _ in self.split(self.normalise(part)))
+            if self.pieces and self.plain(part):
+                pieces = self.pieces(part.lower() if self.lower else part)
+            else:
+                pieces = (p for p, _ in self.split(self.normalise(part)))
             for p in pieces:
                 n += self.token[p]
         return n
