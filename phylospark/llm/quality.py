@@ -101,12 +101,11 @@ def scored(docs: DataFrame, stratum: str = "lang", keep: tuple[str, ...] = ()) -
 
 def _log_gamma(x: Column) -> Column:
     """Stirling's series at x + 8, taken back to x."""
-    y = x + 8.0
-    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    product = x
-    for i in range(1, 8):
-        product = product * (x + i)
-    return series - F.ln(product)
+
+    def series(y: Column) -> Column:
+        return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+
+    return _let(x + 8.0, series) - F.aggregate(F.array(*(F.lit(float(i)) for i in range(8))), F.lit(0.0), lambda a, i: a + F.ln(x + i))
 
 
 def binomial_tail(n: Column, k: Column, rate: float) -> Column:
@@ -131,11 +130,13 @@ def calibrate(marked: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     holdout = marked.select("doc_id", "stratum", "base_failed", "score").join(good, "doc_id").where("NOT base_failed")
     above = [F.sum((F.col("score") > x).cast("long")).alias(f"k{i}") for i, x in enumerate(CUTOFFS)]
     counts = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *above)
-    strata = F.greatest(F.lit(1), F.lit(marked.select("stratum").distinct().count()))
-    passed = F.array(*(binomial_tail(F.col("n_good"), F.col(f"k{i}"), alpha) <= delta / strata for i in range(len(CUTOFFS))))
-    first_failed = F.array_position(passed, False)
-    n = F.when(first_failed == 0, len(CUTOFFS)).otherwise(first_failed - 1).cast("int")
-    return counts.select("stratum", "n_good", F.when(n > 0, F.get(F.array(*map(F.lit, CUTOFFS)), n - 1)).alias("cutoff"))
+    strata = F.lit(max(1, marked.select("stratum").distinct().count()))
+    # a row for each cutoff, so that the tail is one expression
+    rows = counts.select("stratum", "n_good", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(len(CUTOFFS)))))).toDF("stratum", "n_good", "place", "k")
+    failed = F.min(F.when(binomial_tail(F.col("n_good"), F.col("k"), alpha) > delta / strata, F.col("place")))
+    found = rows.groupBy("stratum", "n_good").agg(failed.alias("failed"))
+    n = F.coalesce("failed", F.lit(len(CUTOFFS)))
+    return found.select("stratum", "n_good", F.when(n > 0, F.get(F.array(*map(F.lit, CUTOFFS)), n - 1)).alias("cutoff"))
 
 
 #: Strata up to which the cutoffs are broadcast (a name and two numbers each); beyond, they are joined by shuffle.
