@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.operators.diversity import pair_table
+
 CONSOLIDATIONS = ("skipping_missing_matrices", "missing_zero", "missing_one", "skipping_missing_values")
 
 
@@ -26,8 +28,8 @@ def consolidate(distances: list[DataFrame], samples: list[DataFrame], weights: l
         share = [w for k, w in enumerate(share) if k in full]
     tagged = [d.select(F.least("sample_i", "sample_j").alias("sample_i"), F.greatest("sample_i", "sample_j").alias("sample_j"), (F.lit(w) * F.col("distance").cast("double")).alias("wd"), F.lit(w).alias("w")) for d, w in zip(distances, share, strict=True)]
     sums = reduce(DataFrame.unionAll, tagged).groupBy("sample_i", "sample_j").agg(F.sum("wd").alias("wd"), F.sum("w").alias("w"))
-    a, b = every.select(F.col("sample_id").alias("sample_i")), every.select(F.col("sample_id").alias("sample_j"))
-    pairs = a.join(b, F.col("sample_i") < F.col("sample_j")).join(sums, ["sample_i", "sample_j"], "left")
+    ordered = every.withColumn("ord", (F.row_number().over(Window.orderBy("sample_id")) - 1).cast("int"))  # one row a sample
+    pairs = pair_table(ordered, ordered).select(F.col("sample_id_i").alias("sample_i"), F.col("sample_id_j").alias("sample_j")).join(sums, ["sample_i", "sample_j"], "left")
     wd, w = F.coalesce("wd", F.lit(0.0)), F.coalesce("w", F.lit(0.0))
     value = {"missing_zero": wd, "missing_one": wd + (1.0 - w)}.get(how, F.when(w > 0, wd / w))
     return pairs.select("sample_i", "sample_j", value.alias("distance"))

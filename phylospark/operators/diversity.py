@@ -129,7 +129,7 @@ def subsample(abundance: DataFrame, depth: int, n: int = 1, seed: int = 42, repl
     else:
         from pyspark.sql import Window
 
-        each = abundance.join(whole, "sample_id").join(F.broadcast(reps)).select("rep", "sample_id", "feature_id", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("k"))
+        each = abundance.join(whole, "sample_id").join(F.broadcast(reps)).select("rep", "sample_id", "feature_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count").cast("bigint"))).alias("k"))
         order = Window.partitionBy("rep", "sample_id").orderBy(metrics.uniform(str(seed), F.col("rep"), F.col("sample_id"), F.col("feature_id"), F.col("k")), "feature_id", "k")
         taken = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth)
     return taken.groupBy("rep", "sample_id", "feature_id").agg(F.count(F.lit(1)).cast("double").alias("count"))

@@ -17,6 +17,8 @@ from phylospark.session import materialized
 EXACT, CELLS, BROADCAST = 5_000, 2_000_000, 64_000_000
 #: Tasks that permute labels.
 PERMUTERS = 64
+#: Approximate eigenvalues are iterated until they change by no more than this share of the largest, or so often.
+TOLERANCE, ROUNDS = 1e-9, 60
 
 
 def gower(distance: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def _times(centred: DataFrame, place: dict[str, int], right: np.ndarray) -> np.n
 def decompose(centred: DataFrame, dims: int, seed: int = 42, exact: bool | None = None) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Sample ids, the largest `dims` eigenvalues, their unit vectors, and the trace, of one centred matrix. exact: the
     matrix is decomposed on the driver (8 bytes a cell); not exact: a randomized subspace iteration keeps it on the
-    executors, and only samples * axes numbers come to the driver. None: exact up to EXACT samples, with a warning
+    executors, and only samples * axes numbers come to the driver; its
+    eigenvalues settle to TOLERANCE. None: exact up to EXACT samples, with a warning
     beyond."""
     ids = sorted(r[0] for r in centred.select("sample_i").distinct().toLocalIterator())
     place = {s: i for i, s in enumerate(ids)}
@@ -84,11 +87,18 @@ def decompose(centred: DataFrame, dims: int, seed: int = 42, exact: bool | None
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(n, k + 10))))[0]
     if basis.nbytes > BROADCAST:
         raise ValueError(f"{n} samples and {k} axes need a broadcast of {basis.nbytes} bytes; {BROADCAST} are allowed")
-    for _ in range(4):
-        basis = np.linalg.qr(_times(centred, place, basis))[0]
-    small = basis.T @ _times(centred, place, basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(values)[::-1][:k]
+    last = None
+    for _ in range(ROUNDS):
+        image = _times(centred, place, basis)
+        small = basis.T @ image
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:k]
+        if last is not None and np.abs(values[order] - last).max() <= TOLERANCE * np.abs(values).max():
+            break
+        last, used, basis = values[order], basis, np.linalg.qr(image)[0]
+    else:
+        basis = used
+        warnings.warn(f"the eigenvalues still changed by more than {TOLERANCE} of the largest after {ROUNDS} rounds", stacklevel=3)
     return ids, values[order], _signed(basis @ vectors[:, order]), trace
 
 

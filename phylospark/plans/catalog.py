@@ -6,15 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylospark import api
 from phylospark.operators import consolidate, diversity, ordination, stripes
 from phylospark.plans import model
-from phylospark.session import scratch
-from phylospark.sources import store
+from phylospark.session import materialized, scratch
+from phylospark.sources import newick, store
 
 ROUND = 6
+FAMILIES = ("unweighted", "unweighted_unnormalized", "weighted_normalized", "weighted_unnormalized")
 #: Half of the nations each, so that both tables of `meta` lack samples the other has.
 FIRST, SECOND = "n < 18", "n > 4"
 DEPTH, REPS, SEED, PERMUTATIONS = 50, 3, 42, 49
+AXES = 10
 
 
 def _rounded(rows: DataFrame, *names: str) -> DataFrame:
@@ -217,15 +220,78 @@ def _stored(read):
 
 
 def _stripes(spark, sf_dir):
-    """Every stripe range computed on its own, then merged."""
+    """Every stripe range computed on its own from the stored table, then merged."""
     t = model.study(spark, sf_dir)
-    parts = [stripes.partial(t.abundance, model.tree(spark, sf_dir), t.samples, start, stop, "unweighted_fp64") for start, stop in stripes.report(t.samples.count(), 3)]
-    return _pairs(stripes.merge(parts, t.samples.count()))
+    abundance, samples = materialized(t.abundance, "abundance"), materialized(t.samples, "samples")
+    n = samples.count()
+    return _pairs(stripes.merge([stripes.partial(abundance, model.tree(spark, sf_dir), samples, start, stop, "unweighted_fp64") for start, stop in stripes.report(n, 3)], n))
+
+
+def _residual(spark, sf_dir):
+    """What the ordination's axes miss of the definition: the centred matrix times an axis is its eigenvalue times the
+    axis, and an axis is as long as the root of its eigenvalue says."""
+    distance = materialized(_distance(spark, sf_dir), "distance")
+    axes, coords = ordination.pcoa(distance, AXES)
+    image = ordination.gower(distance).join(coords.withColumnRenamed("sample_id", "sample_j"), ["rep", "sample_j"]).groupBy("rep", "axis", F.col("sample_i").alias("sample_id")).agg(F.sum(F.col("g") * F.col("value")).alias("image"))
+    rows = image.join(coords, ["rep", "axis", "sample_id"]).join(axes, ["rep", "axis"])
+    off = F.max(F.abs(F.col("image") - F.col("eigval") * F.col("value"))).alias("residual")
+    found = rows.groupBy("axis").agg(off, F.abs(F.sum(F.col("value") ** 2) - F.greatest(F.first("eigval"), F.lit(0.0))).alias("excess"))
+    return _rounded(found, "residual", "excess")
+
+
+# --- the public functions ---
+
+
+def _public(family: str, alpha: float = 1.0):
+    """A matrix function on values in memory."""
+
+    def query(spark, sf_dir):
+        more = {"alpha": alpha} if family == "generalized" else {}
+        return _pairs(getattr(api, f"{family}_fp64")(model.study(spark, sf_dir), model.tree(spark, sf_dir), **more))
+
+    return query
+
+
+def _public_file(family: str):
+    """A to_file function, and what is read back."""
+
+    def query(spark, sf_dir):
+        path = scratch(spark, "file")
+        getattr(api, f"{family}_fp64_to_file")(model.study(spark, sf_dir), model.tree(spark, sf_dir), path, 0)
+        return _pairs(api.read_distance(path))
+
+    return query
+
+
+def _public_meta(spark, sf_dir):
+    found = api.meta([model.study(spark, sf_dir, keep=FIRST), model.study(spark, sf_dir, keep=SECOND)], [model.tree(spark, sf_dir), model.tree(spark, sf_dir, second=True)], weights=[1.0, 2.0], consolidation="skipping-missing-values", method="unweighted_fp64")
+    return _pairs(found)
+
+
+def _public_faith(spark, sf_dir):
+    return _rounded(api.faith_pd(model.study(spark, sf_dir, segments=True), model.tree(spark, sf_dir)), "faith_pd")
+
+
+def _public_pair(family: str, alpha: float = 1.0):
+    """A dense pair function on the vectors of two nations."""
+
+    def query(spark, sf_dir):
+        rows = model.study(spark, sf_dir, keep="n IN (3, 17)").abundance.groupBy("feature_id").pivot("sample_id", ["03", "17"]).agg(F.sum("count")).na.fill(0.0).orderBy("feature_id").collect()  # two vectors, as the function takes them
+        more = {"alpha": alpha} if family == "generalized" else {}
+        value = getattr(api, f"{family}_dense_pair")([r["feature_id"] for r in rows], [r["03"] for r in rows], [r["17"] for r in rows], model.tree(spark, sf_dir), **more)
+        return _rounded(spark.createDataFrame([("03", "17", value)], "sample_i string, sample_j string, distance double"), "distance")
+
+    return query
+
+
+def _newick(spark, sf_dir):
+    """The parts' tree written as text and parsed."""
+    return newick.node_table(spark, model.newick_text(spark, sf_dir)).select("name", "length", "is_tip", "depth")
 
 
 def queries():
     out = {"faith_pd": _faith, "node_counts": _node_counts, "sample_totals": _totals, "abundance_validate": _validate, "weighted_normalized_wide": _wide}
-    for family in ("unweighted", "unweighted_unnormalized", "weighted_normalized", "weighted_unnormalized"):
+    for family in FAMILIES:
         out |= {family: _beta(family), f"{family}_fp64": _beta(f"{family}_fp64"), f"{family}_vaw": _beta(f"{family}_fp64", adjusted=True), f"{family}_bypass": _beta(f"{family}_fp64", bypass=True), f"{family}_dense_pair": _dense_pair(family)}
     out |= {f"generalized_a{str(a).replace('.', '').rstrip('0') or '0'}": _beta("generalized_fp64", alpha=a) for a in (0.0, 0.5, 1.0)}
     out |= {"generalized_fp32": _beta("generalized_fp32", alpha=0.3), "generalized_vaw": _beta("generalized_fp64", alpha=0.5, adjusted=True), "generalized_bypass": _beta("generalized_fp64", alpha=0.5, bypass=True), "generalized_dense_pair": _dense_pair("generalized", 0.5)}
@@ -238,13 +304,16 @@ def queries():
         "store_roundtrip_permanova": _stored(lambda r: _rounded(r.permanova_table().select("grouping", "statistic", "p_value"), "statistic", "p_value")),
         "store_roundtrip_pcoa": _stored(lambda r: _rounded(r.coords_table(), "value")),
         "stripes_partial_merge": _stripes,
+        "pcoa_residual": _residual,
     }
+    out |= {f"api_{family}": _public(family) for family in FAMILIES} | {f"api_{family}_to_file": _public_file(family) for family in FAMILIES} | {f"api_{family}_dense_pair": _public_pair(family) for family in FAMILIES}
+    out |= {"api_generalized": _public("generalized", 0.5), "api_generalized_dense_pair": _public_pair("generalized", 0.5), "api_meta": _public_meta, "api_faith_pd": _public_faith, "newick_parse": _newick}
     return out
 
 
 def _beta_oracles() -> dict[str, str]:
     out, unweighted = {}, _beta_sql("unweighted")
-    for family in ("unweighted", "unweighted_unnormalized", "weighted_normalized", "weighted_unnormalized"):
+    for family in FAMILIES:
         out |= {family: _beta_sql(family, single=True), f"{family}_fp64": _beta_sql(family), f"{family}_vaw": _beta_sql(family, adjusted=True), f"{family}_bypass": _beta_sql(family, bypass=True), f"{family}_dense_pair": _dense_pair_sql(family)}
     out |= {f"generalized_a{str(a).replace('.', '').rstrip('0') or '0'}": _beta_sql("generalized", alpha=a) for a in (0.0, 0.5, 1.0)}
     out |= {"generalized_fp32": _beta_sql("generalized", alpha=0.3, single=True), "generalized_vaw": _beta_sql("generalized", alpha=0.5, adjusted=True), "generalized_bypass": _beta_sql("generalized", alpha=0.5, bypass=True), "generalized_dense_pair": _dense_pair_sql("generalized", 0.5)}
@@ -260,7 +329,10 @@ def _beta_oracles() -> dict[str, str]:
         "store_roundtrip_distance": unweighted,
         "store_roundtrip_permanova": _permanova_sql(["region", "parity"], "statistic", "p_value"),
         "stripes_partial_merge": unweighted,
+        "pcoa_residual": f"SELECT unnest(range(1, {AXES} + 1))::INT AS axis, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS excess",
     }
+    out |= {f"api_{family}{suffix}": _beta_sql(family) for family in FAMILIES for suffix in ("", "_to_file")} | {f"api_{family}_dense_pair": _dense_pair_sql(family) for family in FAMILIES}
+    out |= {"api_generalized": _beta_sql("generalized", alpha=0.5), "api_generalized_dense_pair": _dense_pair_sql("generalized", 0.5), "api_meta": _meta_sql("skipping_missing_values"), "newick_parse": model.NEWICK_SQL}
     return out
 
 
@@ -268,6 +340,7 @@ def oracle_sql():
     segments, nations = model.study_sql(segments=True), model.study_sql()
     out = {
         "faith_pd": f"WITH {model.TREE_SQL}, {segments}, e AS (SELECT DISTINCT sample_id, node_id, length FROM abundance JOIN closure USING (feature_id) WHERE count > 0) SELECT sample_id, round(coalesce(sum(length), 0), 6) AS faith_pd FROM samples LEFT JOIN e USING (sample_id) GROUP BY 1",
+        "api_faith_pd": f"WITH {model.TREE_SQL}, {segments}, e AS (SELECT DISTINCT sample_id, node_id, length FROM abundance JOIN closure USING (feature_id) WHERE count > 0) SELECT sample_id, round(coalesce(sum(length), 0), 6) AS faith_pd FROM samples LEFT JOIN e USING (sample_id) GROUP BY 1",
         "node_counts": f"WITH {model.TREE_SQL}, {nations} SELECT sample_id, node_id, any_value(length) AS length, any_value(is_tip) AS is_tip, sum(count) AS c FROM abundance JOIN closure USING (feature_id) GROUP BY 1, 2",
         "sample_totals": f"WITH {segments} SELECT sample_id, sum(count) AS total FROM abundance GROUP BY 1",
         "abundance_validate": f"WITH {segments} SELECT count(DISTINCT sample_id) AS n_samples, count(DISTINCT feature_id) AS n_features, count(*) AS n_counts, count(*) FILTER (count < 0) AS n_negative, (SELECT count(DISTINCT feature_id) FROM abundance WHERE feature_id NOT IN (SELECT p_partkey::VARCHAR FROM part)) AS n_missing FROM abundance",

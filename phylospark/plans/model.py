@@ -26,6 +26,18 @@ def tree(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
     return part.select("feature_id", F.explode(edges).alias("e")).select("feature_id", "e.node_id", "e.length", "e.is_tip")
 
 
+def newick_text(spark: SparkSession, sf_dir: str) -> str:
+    """The tree of `tree` as text; like any tree, it is read whole."""
+    below: dict[str, dict[str, list[str]]] = {}
+    for r in load(spark, sf_dir, "part").select("p_type", "p_brand", "p_partkey", "p_size").toLocalIterator():
+        below.setdefault(r["p_type"], {}).setdefault(r["p_brand"], []).append(f"'p:{r['p_partkey']}':{1 + r['p_size'] % 5}")
+    types = []
+    for kind, brands in sorted(below.items()):
+        own = [f"({','.join(sorted(tips))})'b:{kind}|{brand}':2" for brand, tips in sorted(brands.items())]
+        types.append(f"({','.join(own)})'t:{kind}':4")
+    return f"({','.join(types)})root;"
+
+
 def study(spark: SparkSession, sf_dir: str, segments: bool = False, month: int | None = None, keep: str | None = None) -> Table:
     """Counts by nation (or nation-segment), over all months or one; samples come from the customers, so some may have
     no counts. `keep` is a condition on n, the nation's number."""
@@ -66,6 +78,12 @@ TREE2_SQL = """closure2 AS (
   UNION ALL SELECT p_partkey::VARCHAR, 'p:' || p_partkey, 1.0 + p_partkey % 3, true FROM part)"""
 
 
+NEWICK_SQL = """SELECT 'root' AS name, 0.0::DOUBLE AS length, false AS is_tip, 0 AS depth
+  UNION ALL SELECT DISTINCT 't:' || p_type, 4.0, false, 1 FROM part
+  UNION ALL SELECT DISTINCT 'b:' || p_type || '|' || p_brand, 2.0, false, 2 FROM part
+  UNION ALL SELECT 'p:' || p_partkey, 1.0 + p_size % 5, true, 3 FROM part"""
+
+
 def study_sql(segments: bool = False, month: int | None = None, keep: str | None = None, suffix: str = "") -> str:
     name = "lpad(c_nationkey::VARCHAR, 2, '0')" + (" || '-' || c_mktsegment" if segments else "")
     where = f" WHERE {keep.replace('n ', 'c_nationkey ')}" if keep else ""

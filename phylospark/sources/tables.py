@@ -68,6 +68,7 @@ def read_table(spark: SparkSession, path: str) -> Table:
 
 
 def _read_biom(spark: SparkSession, path: str) -> Table:
+    """BIOM 2.1 from a path of the driver's file system: arrays of non-zeros become a table without a loop over them."""
     try:
         import h5py
     except ImportError as e:
@@ -77,10 +78,27 @@ def _read_biom(spark: SparkSession, path: str) -> Table:
     with h5py.File(path, "r") as f:
         if tuple(f.attrs.get("format-version", ())) != (2, 1):
             raise ValueError(errors.NOT_A_TABLE)
-        text = [[x.decode() if isinstance(x, bytes) else x for x in f[f"{axis}/ids"][:]] for axis in ("sample", "observation")]
+        names = [[x.decode() if isinstance(x, bytes) else x for x in f[f"{axis}/ids"][:]] for axis in ("sample", "observation")]
         starts, at, data = (f[f"sample/matrix/{k}"][:] for k in ("indptr", "indices", "data"))
-        rows = [(s, text[1][at[k]], float(data[k])) for i, s in enumerate(text[0]) for k in range(starts[i], starts[i + 1])]
-    return table_of(spark.createDataFrame(rows, schemas.ABUNDANCE), spark.createDataFrame([(s, i) for i, s in enumerate(text[0])], schemas.SAMPLES))
+    return table_from_sparse(spark, *names, starts, at, data)
+
+
+def table_from_sparse(spark: SparkSession, sample_ids: list[str], feature_ids: list[str], starts, at, data) -> Table:
+    """From compressed rows in memory: sample i has the counts data[starts[i]:starts[i + 1]] of the features at."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = pa.table(
+        {
+            "sample_id": pa.array(sample_ids, pa.string()).take(pa.array(np.repeat(np.arange(len(sample_ids)), np.diff(starts)))),
+            "feature_id": pa.array(feature_ids, pa.string()).take(pa.array(np.asarray(at, dtype=np.int64))),
+            "count": pa.array(np.asarray(data, dtype=np.float64)),
+        }
+    )
+    samples = spark.createDataFrame([(s, i) for i, s in enumerate(sample_ids)], schemas.SAMPLES)
+    found = table_of(spark.createDataFrame(rows), samples)
+    # features without counts are features of the table, too
+    return Table(found.abundance, samples, spark.createDataFrame([(x,) for x in feature_ids], "feature_id string"))
 
 
 def validate(table: Table, files: bool = True) -> None:

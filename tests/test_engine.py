@@ -66,6 +66,14 @@ def test_distances(study, family, alpha, more):
     np.testing.assert_allclose(values(diversity.beta(table.abundance, closure, table.samples, f"{family}_fp64", alpha, **more)), expected, atol=1e-9)
 
 
+def test_sparse_arrays(spark, study):
+    rows = np.array(list(COUNTS.values()), dtype=float)
+    starts = np.concatenate([[0], np.cumsum((rows != 0).sum(axis=1))])
+    table = tables.table_from_sparse(spark, list(COUNTS), TIPS, starts, np.nonzero(rows)[1], rows[rows != 0])
+    assert sorted(map(tuple, table.abundance.collect())) == sorted(map(tuple, study[0].abundance.collect()))
+    assert table.samples.count() == len(COUNTS) and table.features.count() == len(TIPS)
+
+
 def test_many_tiles_and_batches(spark, study, monkeypatch):
     """More samples than a tile holds, and batches that end inside branches."""
     pick = np.random.default_rng(3)
