@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phylospark.session import scratch
+
 #: A word: a maximal run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -16,29 +18,40 @@ GAP = r"[\x20\x09-\x0D]+"
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a
-    temporary one, which is then set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="phylospark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Folders of the temporary blocks that are open.
+_TEMPORARY: list[str] = []
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path inside the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return scratch(spark, tag)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside the block, unless it is kept, is deleted at its end; nothing may read it afterwards."""
+    _TEMPORARY.append(work_dir(spark, "temporary"))
+    try:
+        yield
+    finally:
+        deleted(spark, _TEMPORARY.pop())
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, kept: bool = False) -> DataFrame:
     """df written once to the shared folder and reread: cuts the lineage and outlives executors."""
     path = work_dir(df.sparkSession, tag)
+    if _TEMPORARY and not kept:
+        path = f"{_TEMPORARY[-1]}/{path.rpartition('/')[2]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))

@@ -207,23 +207,25 @@ def _named(docs: DataFrame) -> DataFrame:
 def _roots(docs: DataFrame) -> DataFrame:
     """node (MD5 of the text), root (the least node of its class) of every text that is linked to another."""
     named = _named(docs).select("node", "text")
-    sketched = c.stored(named.mapInArrow(_sketch, "node binary, s array<long>, size long").dropDuplicates(["node"]), "sketches")
-    shared = sketched.select(F.explode("s").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    state = sketched.select("node", "s", "size", F.explode("s").alias("key")).join(shared, "key", "left_semi").dropDuplicates(["node"]).select("node", "s", "size", F.col("node").alias("root"))
-    state = c.stored(state, "state")
-    texts = c.stored(named.join(state.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    roots = None
-    for places in PHASES:
-        linked = c.stored(_verified(c.stored(_to_hubs(state, places), "pairs"), texts), "linked")
-        roots, state = _contracted(linked, roots, state)
-    return _contracted(c.stored(_rest(state, texts), "rest"), roots, None)[0]
+    with c.temporary(docs.sparkSession):
+        sketched = c.stored(named.mapInArrow(_sketch, "node binary, s array<long>, size long").dropDuplicates(["node"]), "sketches")
+        shared = sketched.select(F.explode("s").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        state = sketched.select("node", "s", "size", F.explode("s").alias("key")).join(shared, "key", "left_semi").dropDuplicates(["node"]).select("node", "s", "size", F.col("node").alias("root"))
+        state = c.stored(state, "state")
+        texts = c.stored(named.join(state.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+        roots = None
+        for places in PHASES:
+            linked = c.stored(_verified(c.stored(_to_hubs(state, places), "pairs"), texts), "linked")
+            roots, state = _contracted(linked, roots, state)
+        roots, _ = _contracted(c.stored(_rest(state, texts), "rest"), roots, None)
+        return c.stored(roots, "roots", kept=True)
 
 
 def _contracted(linked: DataFrame, roots: DataFrame | None, state: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Components of new links (a, b) and of those that made roots, and the state with the new roots."""
     if roots is not None:
         linked = linked.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = c.stored(components(linked), "roots")
+    roots = components(linked)
     if state is None:
         return roots, None
     return roots, c.stored(state.drop("root").join(roots, "node", "left").select("node", "s", "size", F.coalesce("root", "node").alias("root")), "state")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     own = (op1_winnowing, op2_chat_formatting, op3_quality_rules, op4_token_counts, op5_source_mixing, op6_toxic_severity, op7_substring_dedup, op8_byte_bpe, op9_order_minhash, op10_html_mincut)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

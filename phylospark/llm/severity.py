@@ -121,6 +121,11 @@ def _count_tokens(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    with c.temporary(docs.sparkSession):
+        return _fit(docs, labels, train_rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, train_rows: int) -> Model:
     own = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("id")).agg(F.max(labels["toxic"].cast("int")).alias("toxic"))
     sample = own.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), c.text_of(docs).alias("text"))

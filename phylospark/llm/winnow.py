@@ -84,8 +84,9 @@ _KEYS = ("k0", "k1", "k2")
 
 def _starts(keys: DataFrame, parts: int) -> list[tuple]:
     """The least key of each stretch, in order: as many as there are parts, at most. Keys are ranged without texts."""
-    ranged = keys.repartitionByRange(parts, *_KEYS).groupBy(F.spark_partition_id().alias("part"))
-    return sorted(tuple(r["least"]) for r in ranged.agg(F.min(F.struct(*_KEYS)).alias("least")).collect())
+    with c.temporary(keys.sparkSession):
+        ranged = c.stored(keys, "keys").repartitionByRange(parts, *_KEYS).groupBy(F.spark_partition_id().alias("part"))
+        return sorted(tuple(r["least"]) for r in ranged.agg(F.min(F.struct(*_KEYS)).alias("least")).collect())
 
 
 def _stretch(starts: list[tuple]) -> Column:
@@ -108,7 +109,7 @@ def _with_next(rows: DataFrame) -> DataFrame:
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # ascending as the order is: ids descending and nulls last, then hashes descending
     keys = F.col("doc_id").isNull().cast("long").alias("k0"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("k1"), F.bitwise_not("tie").alias("k2")
-    starts = _starts(c.stored(rows.select(*keys), "keys"), parts)
+    starts = _starts(rows.select(*keys), parts)
     if not starts:
         return rows.select(F.lit(0).alias("part"), F.lit(False).alias("extra"), "doc_id", "text")
     placed = rows.select("doc_id", "text", "tie", *keys).withColumn("part", _stretch(starts))
