@@ -60,16 +60,26 @@ def test_binomial_tail(spark):
     cases = [(n, k) for n in (1, 5, 60, 400, 20_000) for k in (0, 1, 2, 15, 19, 900) if k <= n]
     rows = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality.binomial_tail(F.col("n"), F.col("k"), 0.05).alias("p")).collect()
     for n, k, p in rows:
+        assert k < n * 0.05 or p == 1.0
         exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(0.05) + (n - j) * math.log(0.95)) for j in range(k + 1))
         assert p == (1.0 if k >= n * 0.05 else pytest.approx(exact, rel=1e-6, abs=1e-12))
 
 
+def test_binomial_tail_of_many_labels(spark):
+    """A tail far from the mean and one near it, against the normal approximation's order of size."""
+    rows = spark.createDataFrame([(10**9, 10**7 - 10**4), (10**9, 10**7 - 100), (10**6, 0)], "n long, k long").select(quality.binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p")).collect()
+    assert rows[0]["p"] == pytest.approx(0.5 * math.erfc(10**4 / math.sqrt(2 * 9.9e6)), rel=0.05)
+    assert rows[1]["p"] == pytest.approx(0.5 * math.erfc(99.5 / math.sqrt(2 * 9.9e6)), rel=0.01) and rows[2]["p"] == 0.0
+
+
 def test_thresholds(spark, docs, none):
     marked = spark.createDataFrame([(i, "en", False, 0.5 if i % 50 else 9.0) for i in range(600)] + [(1000 + i, "de", False, 0.1) for i in range(20)] + [(2000, None, False, 99.0), (2001, "en", True, 0.0), (2002, "en", False, 12.0)], "doc_id long, stratum string, base_failed boolean, score double")
     labels = spark.createDataFrame([(i, 1, "x") for i in range(600)] + [(1000 + i, 1, "x") for i in range(20)] + [(2002, 0, "x"), (None, 1, "x"), (3, None, "x"), (2002, 1, "x")], "doc_id long, quality int, stratum string")
-    cutoffs = {r["stratum"]: r["cutoff"] for r in quality.calibrate(marked, labels).collect()}
-    assert cutoffs == {"en": 1.0, "de": None}
-    kept = {r["doc_id"]: r["kept"] for r in quality.judge(marked, labels).collect()}
+    cutoffs = {r["stratum"]: r["cutoff"] for r in quality.calibrate(marked, labels, alpha=0.05).collect()}
+    # the bound ends the sequence: below 0.5 all would go
+    assert cutoffs == {"en": 0.5, "de": None}
+    assert {r["stratum"]: r["cutoff"] for r in quality.calibrate(marked, labels).collect()} == {"en": 11.0, "de": None}
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(marked, labels, alpha=0.05).collect()}
     assert kept[1] and not kept[50] and kept[1000] and kept[2000] and not kept[2001] and not kept[2002]
     strict = {r["stratum"]: r["cutoff"] for r in quality.calibrate(marked, labels, alpha=0.015).collect()}
     assert strict["en"] is None or strict["en"] >= 9.0
@@ -205,6 +215,19 @@ def test_template_family_equals_brute_force(spark):
     hold_against_brute_force(spark, rows)
 
 
+def test_bridged_communities_equal_brute_force(spark):
+    """Two communities of near copies, and one text that is alike to one member of each only."""
+    pick, rows = random.Random(14), []
+    for g in range(3):
+        first = [f"g{g}w{i}" for i in range(204)]
+        second = [w if i < 150 else f"g{g}z{i}" for i, w in enumerate(first)]
+        bridge = [w if i < 177 else f"g{g}z{i}" for i, w in enumerate(first)]
+        for base in (first, second):
+            rows += [(len(rows) + k, " ".join(edited(pick, base, 0.08, f"g{g}k{len(rows)}x{k}"))) for k in range(30)]
+        rows.append((len(rows), " ".join(bridge)))
+    hold_against_brute_force(spark, rows)
+
+
 def test_one_of_each_leaves_no_pair_at_the_threshold(spark):
     """A star around one text and a drift, as near_dedup of the pipeline sees them: 0.8 by the operator's own measure."""
     pick = random.Random(13)
@@ -242,6 +265,28 @@ def test_severity(spark, docs, none):
     assert not empty.weights and not severity.predict(talks, empty).where("toxic OR severity > 0").count()
 
 
+def test_severity_of_given_grades(spark):
+    """Labels beyond 1 are the grades; one row an id is trained on, however often it comes."""
+    marks = ["", " rude", " rude rude vile", " rude vile vile vile foul foul"]
+    talks = spark.createDataFrame([(i, f"plain words number {i % 17} here" + marks[i % 4]) for i in range(400)] + [(4, "plain again")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4) for i in range(300)], "doc_id long, toxic int")
+    found = severity.predict(talks.where("doc_id >= 300"), severity.fit(talks, labels)).collect()
+    assert sum(r["grade"] == r["doc_id"] % 4 for r in found) >= 0.95 * len(found)
+
+
+def test_ordinal_thresholds_by_shares():
+    import numpy as np
+
+    pick = np.random.default_rng(5)
+    x = pick.normal(size=2000)
+    toxic = x + pick.logistic(size=2000) > 1
+    weights, t = severity.fit_ordinal(np.arange(2000), np.zeros(2000, dtype=int), x, toxic.astype(int), np.where(toxic, 3, 0), 1)
+    above = [float((1 / (1 + np.exp(k - x[toxic] * weights[0]))).mean()) for k in t]
+    assert weights[0] == pytest.approx(1.0, abs=0.25) and t[0] == pytest.approx(1.0, abs=0.25) and list(t) == sorted(t)
+    # the shares hold as far as as many lie above the first threshold
+    assert above[1] == pytest.approx(min(2 / 3, 0.999 * above[0]), abs=1e-6) and above[2] == pytest.approx(1 / 3, abs=1e-6)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_queries_match_sql(spark):
     import duckdb
@@ -283,3 +328,16 @@ def test_pipeline(spark):
     assert Counter((r[0], r[1]) for r in before["source_mixing"]) == expected
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, docs.collect()))
     assert all(r["decoded_sha256"] in {hashlib.sha256(x[1].encode()).hexdigest() for x in before["byte_bpe"]} for r in docs.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_of_odd_tables(spark, docs, none, empty):
+    """Nulls, repeated rows and columns named as the operators' own pass through every stage; no rows give none."""
+    import corpus_pipeline
+
+    table = at = none if empty else docs
+    for name, stage in corpus_pipeline.STAGES:
+        at = c.stored(stage(spark, at, SF), name)
+        assert at.dtypes == table.dtypes or name == "byte_bpe"
+        assert (at.count() == 0) == empty
