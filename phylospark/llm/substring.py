@@ -2,11 +2,13 @@
 
 Each window of `window` words is stood for by the smallest hash among its `gram`-word grams: equal windows have equal
 minima, and consecutive windows mostly share theirs, so the index holds a tenth as many hashes as there are windows.
-A run is an immutable Parquet table sorted by hash. A new batch becomes a run after a merge join with the earlier ones,
-which marks what was seen before; once there are `fanout` runs they are compacted into one. Windows whose minimum
-repeats anywhere are verified by 96 bits over all their words, drawn from two independent polynomial hashes; the hash
-takes the place of word-by-word comparison. Windows with fewer occurrences than `HOT` are counted in one step; the
-rest are dealt to salted parts first.
+A run is an immutable table, bucketed and sorted by hash, so that runs meet in merge joins without a shuffle. A new
+batch becomes a run after a merge join with the earlier ones, which marks what was seen before; once there are `fanout`
+runs they are compacted into one. Windows whose minimum repeats anywhere are verified by 96 bits over all their words,
+drawn from two independent polynomial hashes; the hash takes the place of word-by-word comparison.
+
+Windows of a fingerprint with n occurrences are counted in ceil(n / part) parts, dealt by document. What is alone in its
+part meets one row of each other part, so no task sees a common window more than about `part` times.
 
 Nulls: a null text is an empty one, a null doc_id is an id of its own. Repeated rows are documents of their own, so
 each word of theirs that a window covers goes. Texts under `window` words lose nothing. Empty tables give empty
@@ -15,16 +17,18 @@ results. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phylospark.llm import common as c
 
 WINDOW, GRAM = 35, 12
-#: Occurrences of one fingerprint from which its windows are counted in salted parts.
-HOT = 100_000
+#: Occurrences of one fingerprint whose windows are counted together.
+PART = 4_096
 
 
 def _minima(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,26 +72,31 @@ def _own_fingerprints(window: int, gram: int):
     return run
 
 
-def _candidate_windows(window: int, gram: int):
+def _candidate_windows(window: int, gram: int, part: int):
     def run(batches):
         for batch in batches:
             keys = batch.column("k1"), batch.column("k2")
-            for i, (raw, seen, n) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("seen"), batch.column("most"), strict=True)):
+            for i, (raw, seen, uses) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("seen"), batch.column("uses"), strict=True)):
                 words, _, _ = c.word_hashes(raw.as_py())
                 low = _minima(words, window, gram)[1]
-                at = np.flatnonzero(np.isin(low, seen.values.to_numpy().view(np.uint64)))
+                seen, uses = seen.values.to_numpy().view(np.uint64), uses.values.to_numpy()
+                order = np.argsort(seen)
+                place = order[np.minimum(np.searchsorted(seen, low, sorter=order), len(seen) - 1)]
+                at = np.flatnonzero(seen[place] == low)
                 if not len(at):
                     continue
                 w1 = c.window_hashes(words, window)[at].view(np.int64)
                 w2 = (c.window_hashes(words, window, c._BASE2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                parts = ((uses[place[at]] + part - 1) // part).astype(np.int32)
                 one = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([keys[0].take(one), keys[1].take(one), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2), pa.array(np.full(len(at), n.as_py()))], names=["k1", "k2", "at", "w1", "w2", "most"])
+                yield pa.RecordBatch.from_arrays([keys[0].take(one), keys[1].take(one), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2), pa.array(parts)], names=["k1", "k2", "at", "w1", "w2", "parts"])
 
     return run
 
 
-def _cut(window: int, keep: int, most: int = 4_000_000):
-    """Rows of (doc_id, n_words, n_removed, kept_text, then the `keep` first columns), handed over by weight."""
+def _cut(window: int, keep: int, as_was: bool, most: int = 4_000_000):
+    """Rows of (doc_id, n_words, n_removed, kept_text, then the `keep` first columns), handed over by weight. as_was: a
+    text that loses nothing stays as it is."""
 
     def run(batches):
         for batch in batches:
@@ -105,7 +114,8 @@ def _cut(window: int, keep: int, most: int = 4_000_000):
                     gone = np.cumsum(steps[:-1]) > 0
                     removed = int(gone.sum())
                     kept = [w for w, g in zip(kept, gone.tolist(), strict=True) if not g]
-                for column, value in zip(held, (n, removed, b" ".join(kept).decode("utf-8")), strict=True):
+                out = raw if as_was and not removed else b" ".join(kept)
+                for column, value in zip(held, (n, removed, out.decode("utf-8")), strict=True):
                     column.append(value)
                 weight += len(raw) + 64
                 if weight >= most or i == end:
@@ -117,27 +127,30 @@ def _cut(window: int, keep: int, most: int = 4_000_000):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints in the shared folder: (h, n occurrences, repeated)."""
+    """Immutable runs of window fingerprints in the shared folder, bucketed and sorted by h: (h, n occurrences,
+    repeated). `buckets` is as many as there are shuffle partitions unless given."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, runs: tuple[str, ...] = (), window: int = WINDOW, gram: int = GRAM, fanout: int = 4) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = 4, buckets: int | None = None) -> None:
         self.spark, self.path = spark, path or c.work_dir(spark, "fingerprints")
-        self.runs, self.window, self.gram, self.fanout, self.made = list(runs), window, gram, fanout, 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs, self.window, self.gram, self.fanout, self.made = [], window, gram, fanout, 0
 
     def _write(self, rows: DataFrame) -> str:
+        """A run's table; its files lie in the index's folder."""
         self.made += 1
-        path = f"{self.path}/run-{self.made:06d}"
-        rows.sortWithinPartitions("h").write.parquet(path)
-        return path
+        name = f"run_{self.made:06d}_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        return name
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("h long, n long, repeated boolean").parquet(path)
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "h")
 
     def append(self, docs: DataFrame) -> None:
         """Adds a batch of (text): its fingerprints are merge-joined with each earlier run and become a run."""
-        fresh = docs.select(c.text_of(docs).alias("text")).mapInArrow(_count_fingerprints(self.window, self.gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        fresh = fresh.withColumn("repeated", F.col("n") > 1)
+        fresh = self._dealt(docs.select(c.text_of(docs).alias("text")).mapInArrow(_count_fingerprints(self.window, self.gram), "h long, n long"))
+        fresh = fresh.groupBy("h").agg(F.sum("n").alias("n")).withColumn("repeated", F.col("n") > 1)
         for run in self.runs:
-            old = self._read(run).select("h", F.lit(True).alias("old"))
+            old = self.spark.table(run).select("h", F.lit(True).alias("old"))
             fresh = fresh.join(old.hint("merge"), "h", "left").select("h", "n", (F.col("repeated") | F.col("old").isNotNull()).alias("repeated"))
         self.runs.append(self._write(fresh))
         if len(self.runs) >= self.fanout:
@@ -146,70 +159,75 @@ class FingerprintIndex:
     def compact(self) -> None:
         """One run in place of all."""
         if len(self.runs) > 1:
-            self.runs = [self._write(self._all().groupBy("h").agg(F.sum("n").alias("n"), F.bool_or("repeated").alias("repeated")))]
-
-    def _all(self) -> DataFrame:
-        out = self._read(self.runs[0])
-        for run in self.runs[1:]:
-            out = out.unionAll(self._read(run))
-        return out
+            whole = self.spark.table(self.runs[0])
+            for run in self.runs[1:]:
+                more = self.spark.table(run).select("h", F.col("n").alias("more"), F.col("repeated").alias("also"))
+                n = F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))
+                whole = whole.join(more.hint("merge"), "h", "full").select("h", n.alias("n"), (F.coalesce("repeated", F.lit(False)) | F.coalesce("also", F.lit(False))).alias("repeated"))
+            merged = self._write(whole)
+            self.drop()
+            self.runs = [merged]
+
+    def drop(self) -> None:
+        """Forgets the runs and deletes their files."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            c.deleted(self.spark, f"{self.path}/{run}")
+        self.runs = []
 
     def repeated(self) -> DataFrame:
         """(h, n) of the fingerprints that occur twice or more. The latest run that has one is marked."""
         self.compact()
-        return self._all().where("repeated").select("h", "n")
+        # read as plain files: then a join can be split where a fingerprint is common
+        return self.spark.read.schema("h long, n long, repeated boolean").parquet(f"{self.path}/{self.runs[0]}").where("repeated").select("h", "n")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row, then its columns in `keep`
-    as _0, _1, ...: gone is each word that a window covers whose words also start anywhere else. The rows reach the
-    index in `batches` batches."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, keep: tuple[Column, ...] = (), as_was: bool = False, part: int = PART) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one space; with as_was a text that loses nothing stays
+    as it is) of every row, then its columns in `keep` as _0, _1, ...: gone is each word that a window covers whose words
+    also start anywhere else. The rows reach the index in `batches` batches."""
     spark = docs.sparkSession
     text = c.text_of(docs)
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(c.NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), *(docs[k].alias(f"_{i}") for i, k in enumerate(keep)))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(c.NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), *(k.alias(f"_{i}") for i, k in enumerate(keep)))
     kept = [f"_{i}" for i in range(len(keep))]
     index = FingerprintIndex(spark, window=window, gram=gram, fanout=max(2, batches))
     for b in range(batches):
         index.append(base.where(F.pmod(F.xxhash64("k1"), F.lit(batches)) == b).select("text"))
     seen = index.repeated()
-    most = seen.agg(F.max("n")).first()[0] or 0
     owners = base.select("k1", "k2", "text").mapInArrow(_own_fingerprints(window, gram), "k1 long, k2 long, h long")
-    found = owners.join(seen, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("seen"), F.max("n").alias("most"))
+    found = owners.join(seen, "h").groupBy("k1", "k2", "h").agg(F.max("n").alias("n")).groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "n")).alias("x")).select("k1", "k2", F.col("x.h").alias("seen"), F.col("x.n").alias("uses"))
     # both joins read the same columns of the same rows, so the texts are shuffled once
-    windows = base.select("doc_id", *kept, "text", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", *kept, "k1", "k2", "text", "seen", "most")
-    windows = windows.mapInArrow(_candidate_windows(window, gram), "k1 long, k2 long, at int, w1 long, w2 int, most long")
-    if most < HOT:
-        twice = windows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))).where("c > 1").select("k1", "k2", "at")
-    else:
-        twice = _count_salted(windows)
-    twice = twice.groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
+    windows = base.select("doc_id", *kept, "text", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", *kept, "k1", "k2", "text", "seen", "uses")
+    windows = windows.mapInArrow(_candidate_windows(window, gram, part), "k1 long, k2 long, at int, w1 long, w2 int, parts int")
+    twice = _repeated(windows).groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
     whole = base.select("doc_id", *kept, "text", "k1", "k2").join(twice, ["k1", "k2"], "left").select("doc_id", *kept, "text", "at")
-    extra = "".join(f", _{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
-    return whole.mapInArrow(_cut(window, len(keep)), f"doc_id long, n_words long, n_removed long, kept_text string{extra}")
+    extra = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in kept)
+    return whole.mapInArrow(_cut(window, len(keep), as_was), f"doc_id long, n_words long, n_removed long, kept_text string{extra}")
+
+
+def _repeated(windows: DataFrame) -> DataFrame:
+    """(k1, k2, at) of windows whose words occur twice or more. Equal windows have the same number of parts."""
+    own, mark = Window.partitionBy("w1", "w2", "part"), F.when(F.col("parts") > 1, F.xxhash64("k1", "k2", "at"))
+    counted = windows.withColumn("part", F.pmod(F.xxhash64("k1", "k2"), "parts").cast("int")).withColumns({"n": F.count(F.lit(1)).over(own), "least": F.min(mark).over(own)})
+    left = counted.where("n > 1 OR parts > 1")
+    # of several parts, the least row of each meets those of the others; the rest are repeated anyway
+    lane = F.when(F.col("least") == mark, -1).otherwise(F.col("part"))
+    met = left.withColumn("lane", lane).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2", "lane")))
+    return met.where("n > 1 OR lane = -1 AND met > 1").select("k1", "k2", "at")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Rows of docs with the repeated words cut out of their texts, and n_chars, where docs has it, counted anew. A text
-    that loses nothing stays as it is; another one's words are joined by one space."""
-    cut = remove_repeats(docs, keep=tuple(docs.columns))
-    was = {k: f"_{i}" for i, k in enumerate(docs.columns)}
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(was["text"]))
-    fresh = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col(was["n_chars"])) if "n_chars" in was else None}
+    that loses nothing stays as it is, null too; another one's words are joined by one space."""
+    others = tuple(k for k in docs.columns if k != "text")
+    cut = remove_repeats(docs, keep=(*(docs[k] for k in others), docs["text"].isNull()), as_was=True)
+    was = {k: f"_{i}" for i, k in enumerate(others)}
+    fresh = {"text": F.when(~F.col(f"_{len(others)}"), F.col("kept_text"))}
+    if "n_chars" in was:
+        fresh["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col(was["n_chars"]))
     return cut.select(*((fresh[k] if k in fresh else F.col(was[k])).cast(docs.schema[k].dataType).alias(k) for k in docs.columns))
 
 
-def _count_salted(windows: DataFrame) -> DataFrame:
-    """As count over (w1, w2) > 1, where some window has HOT occurrences or more: documents with such fingerprints deal
-    their windows to parts by document; what is alone in its part is looked up in totals that were summed before the
-    shuffle."""
-    windows = c.stored(windows, "windows")
-    part = F.when(F.col("most") >= HOT, F.pmod(F.xxhash64("k1", "k2"), F.ceil(F.col("most") / HOT))).otherwise(F.lit(0))
-    windows = windows.withColumn("part", part).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2", "part")))
-    totals = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("w1", "w2")
-    alone = windows.where("c = 1").join(totals, ["w1", "w2"], "left_semi")
-    return windows.where("c > 1").select("k1", "k2", "at").unionAll(alone.select("k1", "k2", "at"))
-
-
 #: What remove_repeats with the default window gives, in DuckDB's SQL.
 SQL = r"""
 WITH split AS (
