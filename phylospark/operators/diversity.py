@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospark.functions import metrics, tiles
+from phylospark.session import materialized
 
 #: Samples of a tile.
 TILE = 128
@@ -112,6 +113,7 @@ def beta(abundance: DataFrame, closure: DataFrame, samples: DataFrame, method: s
 def subsample(abundance: DataFrame, depth: int, n: int = 1, seed: int = 42, replacement: bool = True) -> DataFrame:
     """rep, sample_id, feature_id, count of `n` subsamples of `depth` individuals. Samples with fewer are left out.
     Draws are MD5 hashes, so reruns and retries agree."""
+    abundance = materialized(abundance, "abundance")
     whole = abundance.groupBy("sample_id").agg(F.sum("count").cast("bigint").alias("total")).where(F.col("total") >= depth)
     reps = abundance.sparkSession.range(n).select(F.col("id").cast("int").alias("rep"))
     draws = whole.join(F.broadcast(reps))
@@ -119,17 +121,24 @@ def subsample(abundance: DataFrame, depth: int, n: int = 1, seed: int = 42, repl
         # each feature owns a stretch of the sample's individuals; a draw takes the last stretch that begins at or below it
         draws = draws.select("rep", "sample_id", "total", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("k"))
         draws = draws.select("rep", "sample_id", F.pmod(metrics.uniform(str(seed), F.col("rep"), F.col("sample_id"), F.col("k")), F.col("total")).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("feature_id"))
-        from pyspark.sql import Window
-
         upto = Window.partitionBy("sample_id").orderBy("feature_id").rowsBetween(Window.unboundedPreceding, -1)
         starts = abundance.withColumn("at", F.coalesce(F.sum("count").over(upto), F.lit(0.0)).cast("bigint")).join(whole, "sample_id").join(F.broadcast(reps))
         starts = starts.select("rep", "sample_id", "at", F.lit(0).alias("kind"), "feature_id")
         along = Window.partitionBy("rep", "sample_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
         taken = starts.unionAll(draws).withColumn("feature_id", F.last("feature_id", ignorenulls=True).over(along)).where("kind = 1")
     else:
-        from pyspark.sql import Window
 
-        each = abundance.join(whole, "sample_id").join(F.broadcast(reps)).select("rep", "sample_id", "feature_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count").cast("bigint"))).alias("k"))
-        order = Window.partitionBy("rep", "sample_id").orderBy(metrics.uniform(str(seed), F.col("rep"), F.col("sample_id"), F.col("feature_id"), F.col("k")), "feature_id", "k")
-        taken = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth)
+        def each(rows: DataFrame) -> DataFrame:
+            one = rows.select("rep", "sample_id", "feature_id", bound.alias("bound"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count").cast("bigint"))).alias("k"))
+            return one.withColumn("u", metrics.uniform(str(seed), F.col("rep"), F.col("sample_id"), F.col("feature_id"), F.col("k")))
+
+        # the `depth` least hashes lie below this bound, but for 1 sample in 10^10; only those are ordered
+        bound = F.ceil((depth + 8 * math.sqrt(depth) + 16) / F.col("total") * float(1 << 48))
+        rows = abundance.join(whole, "sample_id").join(F.broadcast(reps))
+        near = materialized(each(rows).where("u < bound").select("rep", "sample_id", "feature_id", "k", "u"), "near")
+        # where they don't, all others of the sample are ordered, too
+        short = draws.join(near.groupBy("rep", "sample_id").agg(F.count(F.lit(1)).alias("n")), ["rep", "sample_id"], "left").where(F.coalesce("n", F.lit(0)) < depth).select("rep", "sample_id")
+        far = each(rows.join(materialized(short, "short"), ["rep", "sample_id"])).where("u >= bound").select("rep", "sample_id", "feature_id", "k", "u")
+        order = Window.partitionBy("rep", "sample_id").orderBy("u", "feature_id", "k")
+        taken = near.unionAll(far).withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth)
     return taken.groupBy("rep", "sample_id", "feature_id").agg(F.count(F.lit(1)).cast("double").alias("count"))

@@ -295,6 +295,13 @@ def test_subsamples(study):
             assert all(r["count"] <= whole[r["sample_id"], r["feature_id"]] for r in drawn.collect())
 
 
+def test_subsamples_whatever_the_bound(study, monkeypatch):
+    """If too few hashes lie below the bound, the rest are ordered, too."""
+    expected = sorted(map(tuple, diversity.subsample(study[0].abundance, 5, 3, replacement=False).collect()))
+    monkeypatch.setattr(diversity.math, "sqrt", lambda x: -2.4)
+    assert sorted(map(tuple, diversity.subsample(study[0].abundance, 5, 3, replacement=False).collect())) == expected
+
+
 def test_stripes(study, monkeypatch):
     table, closure = study
     for n in (2, 5, 6, 7):
