@@ -72,14 +72,14 @@ def _own_fingerprints(window: int, gram: int):
     return run
 
 
-def _candidate_windows(window: int, gram: int, part: int):
+def _candidate_windows(window: int, gram: int):
     def run(batches):
         for batch in batches:
             keys = batch.column("k1"), batch.column("k2")
-            for i, (raw, seen, uses) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("seen"), batch.column("uses"), strict=True)):
+            for i, (raw, seen, parts) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("seen"), batch.column("parts"), strict=True)):
                 words, _, _ = c.word_hashes(raw.as_py())
                 low = _minima(words, window, gram)[1]
-                seen, uses = seen.values.to_numpy().view(np.uint64), uses.values.to_numpy()
+                seen, parts = seen.values.to_numpy().view(np.uint64), parts.values.to_numpy()
                 order = np.argsort(seen)
                 place = order[np.minimum(np.searchsorted(seen, low, sorter=order), len(seen) - 1)]
                 at = np.flatnonzero(seen[place] == low)
@@ -87,9 +87,8 @@ def _candidate_windows(window: int, gram: int, part: int):
                     continue
                 w1 = c.window_hashes(words, window)[at].view(np.int64)
                 w2 = (c.window_hashes(words, window, c._BASE2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                parts = ((uses[place[at]] + part - 1) // part).astype(np.int32)
                 one = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([keys[0].take(one), keys[1].take(one), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2), pa.array(parts)], names=["k1", "k2", "at", "w1", "w2", "parts"])
+                yield pa.RecordBatch.from_arrays([keys[0].take(one), keys[1].take(one), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2), pa.array(parts[place[at]])], names=["k1", "k2", "at", "w1", "w2", "parts"])
 
     return run
 
@@ -195,10 +194,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
         index.append(base.where(F.pmod(F.xxhash64("k1"), F.lit(batches)) == b).select("text"))
     seen = index.repeated()
     owners = base.select("k1", "k2", "text").mapInArrow(_own_fingerprints(window, gram), "k1 long, k2 long, h long")
-    found = owners.join(seen, "h").groupBy("k1", "k2", "h").agg(F.max("n").alias("n")).groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "n")).alias("x")).select("k1", "k2", F.col("x.h").alias("seen"), F.col("x.n").alias("uses"))
+    seen = seen.select("h", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    found = owners.join(seen, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "parts")).alias("x")).select("k1", "k2", F.col("x.h").alias("seen"), F.col("x.parts").alias("parts"))
     # both joins read the same columns of the same rows, so the texts are shuffled once
-    windows = base.select("doc_id", *kept, "text", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", *kept, "k1", "k2", "text", "seen", "uses")
-    windows = windows.mapInArrow(_candidate_windows(window, gram, part), "k1 long, k2 long, at int, w1 long, w2 int, parts int")
+    windows = base.select("doc_id", *kept, "text", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", *kept, "k1", "k2", "text", "seen", "parts")
+    windows = windows.mapInArrow(_candidate_windows(window, gram), "k1 long, k2 long, at int, w1 long, w2 int, parts int")
     twice = _repeated(windows).groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
     whole = base.select("doc_id", *kept, "text", "k1", "k2").join(twice, ["k1", "k2"], "left").select("doc_id", *kept, "text", "at")
     extra = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in kept)
@@ -207,13 +207,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
 
 def _repeated(windows: DataFrame) -> DataFrame:
     """(k1, k2, at) of windows whose words occur twice or more. Equal windows have the same number of parts."""
-    own, mark = Window.partitionBy("w1", "w2", "part"), F.when(F.col("parts") > 1, F.xxhash64("k1", "k2", "at"))
-    counted = windows.withColumn("part", F.pmod(F.xxhash64("k1", "k2"), "parts").cast("int")).withColumns({"n": F.count(F.lit(1)).over(own), "least": F.min(mark).over(own)})
-    left = counted.where("n > 1 OR parts > 1")
-    # of several parts, the least row of each meets those of the others; the rest are repeated anyway
-    lane = F.when(F.col("least") == mark, -1).otherwise(F.col("part"))
-    met = left.withColumn("lane", lane).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2", "lane")))
-    return met.where("n > 1 OR lane = -1 AND met > 1").select("k1", "k2", "at")
+    dealt = windows.withColumn("part", F.pmod(F.xxhash64("k1", "k2"), "parts").cast("int")).repartition("w1", "w2", "part")
+    # nothing is added to the number of parts, but as it could be random, what is asked of it stays above the shuffle, which
+    # so serves both uses
+    parts = F.coalesce("parts", F.lit(0)) + F.floor(F.rand(0))
+    within = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2", "part"))).where((F.col("n") > 1) & (parts > 0)).select("k1", "k2", "at")
+    # of several parts each sends one row for a window; where a part has no other, that one row may meet those of others
+    heads = dealt.where(parts > 1).groupBy("w1", "w2", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("head"))
+    met = heads.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w1", "w2"))).where("n = 1 AND c > 1")
+    return within.unionAll(met.select("head.k1", "head.k2", "head.at"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
